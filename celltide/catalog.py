@@ -1,0 +1,7 @@
+"""The registered queries of the library itself, with equivalent SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+FLAGSHIP = ""
