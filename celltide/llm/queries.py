@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from celltide.llm import bpe, decontaminate, langid, quality
+from celltide.llm import bpe, decontaminate, fingerprint, langid, quality, sharding
 from celltide.llm.common import crc_fold, load
 
 
@@ -36,6 +36,28 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", f"{c}.n_tokens", f"{c}.ids_sha256", f"{c}.decoded_sha256")
 
 
+def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.interleave(load(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source"
+    )
+
+
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fingerprint.fingerprint(load(spark, sf_dir, "documents"))
+    rows = rows.withColumn("edited", fingerprint.edited(F.col("text"), F.col("next.text")))
+    rows = rows.withColumn("edited_words", fingerprint.words(F.col("edited")))
+    return rows.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint.as_text(F.col("words")).alias("fingerprint"),
+        fingerprint.as_text(F.col("edited_words")).alias("edited_fingerprint"),
+        fingerprint.likeness(F.col("words"), F.col("edited_words")).alias("near_edited"),
+        fingerprint.likeness(F.col("words"), F.col("next.words")).alias("near_next"),
+    )
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     held = crc_fold(F.col("doc_id"), 4) == 2
@@ -48,6 +70,8 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op3_decontaminate": op3_decontaminate,
     "op4_bpe": op4_bpe,
+    "op6_shard": op6_shard,
+    "op9_fingerprint": op9_fingerprint,
     "op10_language": op10_language,
 }
 
