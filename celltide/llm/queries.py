@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from celltide.llm import bpe, decontaminate, fingerprint, langid, quality, sharding
+from celltide.llm import bpe, decontaminate, fingerprint, langid, pii, quality, sharding
 from celltide.llm.common import crc_fold, load
 
 
@@ -43,6 +43,12 @@ def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, c = pii.replace(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = F.array_join(F.transform(f"{c}.kinds", lambda k: F.concat(k["kind"], F.lit("="), k["n"])), ",")
+    return out.select("doc_id", "text", f"{c}.n_entities", kinds.alias("kinds"))
+
+
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fingerprint.fingerprint(load(spark, sf_dir, "documents"))
     rows = rows.withColumn("edited", fingerprint.edited(F.col("text"), F.col("next.text")))
@@ -71,6 +77,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_bpe": op4_bpe,
     "op6_shard": op6_shard,
+    "op7_pii": op7_pii,
     "op9_fingerprint": op9_fingerprint,
     "op10_language": op10_language,
 }
