@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from celltide.llm import bpe, decontaminate, fingerprint, langid, pii, quality, sharding
+from celltide.llm import bpe, decontaminate, fingerprint, langid, neardup, pii, quality, sharding
 from celltide.llm.common import crc_fold, load
 
 
@@ -49,6 +49,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", f"{c}.n_entities", kinds.alias("kinds"))
 
 
+def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(load(spark, sf_dir, "documents"))
+
+
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fingerprint.fingerprint(load(spark, sf_dir, "documents"))
     rows = rows.withColumn("edited", fingerprint.edited(F.col("text"), F.col("next.text")))
@@ -78,6 +82,7 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op6_shard": op6_shard,
     "op7_pii": op7_pii,
+    "op8_neardup": op8_neardup,
     "op9_fingerprint": op9_fingerprint,
     "op10_language": op10_language,
 }
