@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from celltide.llm import bpe, decontaminate, fingerprint, langid, neardup, pii, quality, sharding
+from celltide.llm import bpe, decontaminate, fingerprint, langid, langmodel, neardup, pii, quality, sharding
 from celltide.llm.common import crc_fold, load
 
 
@@ -36,6 +36,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", f"{c}.n_tokens", f"{c}.ids_sha256", f"{c}.decoded_sha256")
 
 
+def op5_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return langmodel.score(docs, crc_fold(F.col("doc_id"), 7) != 2)
+
+
 def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.interleave(load(spark, sf_dir, "documents"))
     return out.select(
@@ -80,6 +85,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op3_decontaminate": op3_decontaminate,
     "op4_bpe": op4_bpe,
+    "op5_score": op5_score,
     "op6_shard": op6_shard,
     "op7_pii": op7_pii,
     "op8_neardup": op8_neardup,
