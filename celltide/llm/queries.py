@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from celltide.llm import bpe, decontaminate, fingerprint, langid, langmodel, neardup, pii, quality, sharding
+from celltide.llm import bpe, decontaminate, fingerprint, langid, langmodel, neardup, pii, quality, sharding, suffixdedup
 from celltide.llm.common import crc_fold, load
 
 
@@ -17,6 +17,17 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), f"{c}.score", f"{c}.predicted")
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixdedup.remove_repeats(load(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.expr("size(spans) div 2").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     out, c = decontaminate.decontaminate(docs, load(spark, sf_dir, "benchmark"))
@@ -83,6 +94,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_repeats": op2_repeats,
     "op3_decontaminate": op3_decontaminate,
     "op4_bpe": op4_bpe,
     "op5_score": op5_score,
