@@ -21,23 +21,24 @@ from __future__ import annotations
 import hashlib
 import json
 import mmap
+import re
 import tempfile
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from celltide.llm.common import map_text
+from celltide.llm.common import map_text, written
 
 LEXICON_SIZE = 1 << 16
 MAX_WORD = 64
 #: Words a worker remembers; beyond it the memory is emptied (results do not depend on it).
-MEMO = 150_000
+MEMO = 300_000
 
 CODES = T.StructType(
     [
@@ -55,8 +56,16 @@ DIGESTS = T.StructType(
 )
 
 #: Texts of these characters only need no NFC, and lower-case and split alike everywhere.
-_OTHER = regex.compile(r"[^\t\n\r\x20-\x7e¡-ɏ]")
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_OTHER = re.compile(r"[^\t\n\r\x20-\x7e¡-ɏ]")
+
+
+def _class(category: str) -> str:
+    """The body of a character class: Basic Latin to Latin Extended-B of a general category."""
+    return "".join(chr(c) for c in range(0x250) if unicodedata.category(chr(c))[0] == category)
+
+
+_L, _N = _class("L"), _class("N")
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\\s{_L}{_N}]+")
 
 
 def _byte_letters() -> list[str]:
@@ -97,7 +106,7 @@ class Vocabulary:
         self.made = np.array(made, np.int32)
         self._library = None
         self._definition = definition
-        self._split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
+        self._split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
 
     def pieces(self, text: str) -> list:
         """Words of a text in order, as normalised strings; special tokens as ids."""
@@ -347,7 +356,7 @@ class Encoder:
 
     def _specials(self) -> None:
         for token, i in self.vocabulary.special.items():
-            self.memo[i] = (1, self.names[i], token)
+            self.memo[i] = (self.names[i], token)
 
     def learn(self, words: set) -> None:
         new = [w for w in words if w not in self.memo]
@@ -360,20 +369,26 @@ class Encoder:
         unseen = np.flatnonzero(numbers < 0)
         merged = dict(zip(unseen.tolist(), self.vocabulary.merge([raw[i] for i in unseen])))
         names, tokens = self.names, self.vocabulary.tokens
-        for i, w in enumerate(new):
-            ids = merged[i].tolist() if i in merged else self.lexicon.tokens(numbers[i]).tolist()
-            self.memo[w] = (len(ids), " ".join([names[x] for x in ids]), " ".join([tokens[x] for x in ids]))
+        for i, (w, k) in enumerate(zip(new, numbers.tolist())):
+            ids = merged[i].tolist() if k < 0 else self.lexicon.tokens(k).tolist()
+            self.memo[w] = (
+                (names[ids[0]], tokens[ids[0]])
+                if len(ids) == 1
+                else (" ".join([names[x] for x in ids]), " ".join([tokens[x] for x in ids]))
+            )
 
     def encode(self, texts: list) -> Iterator[tuple[int, str, str]]:
         """(number of tokens, ids joined by a space, decoded text) of each text."""
-        split, memo = self.vocabulary.pieces, self.memo
-        for lo in range(0, len(texts), 32):
-            parts = [split(t) if t else [] for t in texts[lo : lo + 32]]
-            self.learn({w for p in parts for w in p})
-            memo = self.memo
+        split, known = self.vocabulary.pieces, self.memo.__getitem__
+        for lo in range(0, len(texts), 128):
+            parts = [split(t) if t else [] for t in texts[lo : lo + 128]]
+            self.learn(set().union(*parts))
             for p in parts:
-                found = [memo[w] for w in p]
-                yield sum([f[0] for f in found]), " ".join([f[1] for f in found]), " ".join([f[2] for f in found])
+                if p:
+                    ids, tokens = map(" ".join, zip(*map(known, p)))
+                    yield ids.count(" ") + 1, ids, tokens
+                else:
+                    yield 0, "", ""
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -427,17 +442,20 @@ def _words_only(counts: Counter) -> Counter:
 
 
 def build_lexicon(docs: DataFrame, path: str, text: str = "text", size: int = LEXICON_SIZE) -> bytes:
-    """The compiled lexicon of the `size` most frequent words of the whole table."""
+    """The compiled lexicon of the most frequent words of the whole table, `size` at most."""
     with open(path, encoding="utf-8") as f:
         definition = f.read()
     shipped = docs.sparkSession.sparkContext.broadcast(definition)
-    top = (
-        word_counts(docs, shipped, text)
-        .filter((F.col("n") > 1) & (F.octet_length("word") <= MAX_WORD))
-        .orderBy(F.desc("n"), "word")
-        .limit(size)
-        .collect()
-    )
+    counts = word_counts(docs, shipped, text).filter((F.col("n") > 1) & (F.octet_length("word") <= MAX_WORD))
+    counts = written(counts.withColumn("grade", F.floor(F.log2("n") * 64).cast("int")), "words")
+    # the lowest grade of frequency from which on at most `size` words remain; there are few grades
+    room, lowest = size, None
+    for r in sorted(counts.groupBy("grade").agg(F.count("*").alias("n")).collect(), key=lambda r: -r.grade):
+        room -= r.n
+        if room < 0:
+            break
+        lowest = r.grade
+    top = counts.filter(F.col("grade") >= lowest).select("word").collect() if lowest is not None else []
     vocabulary = Vocabulary(definition)
     words = sorted(r.word.encode() for r in top)
     return compile_lexicon(list(zip(words, [i.tolist() for i in vocabulary.merge(words)] if words else [])))
