@@ -246,17 +246,12 @@ def label_components(mask: np.ndarray) -> np.ndarray:
     h, w = mask.shape
     big = h * w
     lab = np.where(mask, np.arange(big).reshape(h, w), big)
-    while True:  # least index spreads along rows and columns
-        old = lab
-        lab = lab.copy()
-        lab[1:] = np.minimum(lab[1:], lab[:-1])
-        lab[:-1] = np.minimum(lab[:-1], lab[1:])
-        lab[:, 1:] = np.minimum(lab[:, 1:], lab[:, :-1])
-        lab[:, :-1] = np.minimum(lab[:, :-1], lab[:, 1:])
+    while True:  # least index spreads to the neighbours in the mask
+        old = np.pad(lab, 1, constant_values=big)
+        lab = np.minimum.reduce([old[1:-1, 1:-1], old[:-2, 1:-1], old[2:, 1:-1], old[1:-1, :-2], old[1:-1, 2:]])
         lab = np.where(mask, lab, big)
-        inner = lab[mask]
-        lab[mask] = np.minimum(inner, np.where(inner < big, np.append(lab.ravel(), big)[inner], big))
-        if (lab == old).all():
+        lab[mask] = lab.ravel()[lab[mask]]  # and to the label of the label
+        if (lab == old[1:-1, 1:-1]).all():
             break
     out = np.zeros((h, w), np.int32)
     if mask.any():

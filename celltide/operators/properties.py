@@ -105,7 +105,8 @@ class LengthWidthEx(Extractor):
 
     def apply(self, df, ctx):
         sides = df.withColumn("_sides", G.rectangle_sides(F.col("coords")))
-        made = {f"{self.prefix}{p}": self.calibrated(F.col(f"_sides.{p}"), ctx) for p in self.parts}
+        nan = F.lit(float("nan"))  # Arrow hands NaN back as NULL
+        made = {f"{self.prefix}{p}": self.calibrated(F.coalesce(F.col(f"_sides.{p}"), nan), ctx) for p in self.parts}
         return sides.withColumns(made).drop("_sides"), {n: self.unit(ctx) for n in made}
 
 

@@ -25,7 +25,7 @@ MANIFEST = f"struct<schema:string,population:map<string,string>,stages:map<strin
 
 def read_manifests(spark: SparkSession, path: str, pattern: str = "stage_manifest.json") -> DataFrame:
     """population_id, output_dir, position, stage, entry: one row per recorded stage, in manifest order."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     where = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
     parsed = files.select(where.alias("output_dir"), F.from_json("value", MANIFEST).alias("p"))
     rows = parsed.select(

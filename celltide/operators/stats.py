@@ -140,11 +140,11 @@ def growth_rate(
     )
     if not inference:
         return out
-    half = critical_t(ci_level)(F.col("n") - 2) * F.col("std_err")
+    half = F.coalesce(critical_t(ci_level)(F.col("n") - 2), nan) * F.col("std_err")  # Arrow hands NaN back as NULL
     t = F.when(F.col("std_err") > 0, F.col("growth_rate") / F.nullif(F.col("std_err"), F.lit(0.0)))
     t = F.when(F.isnan("std_err"), nan).when(F.col("std_err") == 0, F.lit(float("inf"))).otherwise(t)
     return out.withColumns(
-        {"ci_low": F.col("growth_rate") - half, "ci_high": F.col("growth_rate") + half, "p_value": p_value(t, F.col("n") - 2)}
+        {"ci_low": F.col("growth_rate") - half, "ci_high": F.col("growth_rate") + half, "p_value": F.coalesce(p_value(t, F.col("n") - 2), nan)}
     )
 
 
@@ -194,5 +194,5 @@ def hose_bands(
         bands = [(p, *np.percentile(means, [(1 - p) / 2 * 100, (1 + p) / 2 * 100])) for p in levels]
         return pd.DataFrame({"t": [t], "n": [len(v)], "mean": [v.mean()], "bands": [bands]})
 
-    done = met.groupBy("t").applyInPandas(one, schema)
+    done = met.groupBy("t").applyInPandas(one, schema).withColumn("mean", F.coalesce("mean", F.lit(float("nan"))))
     return grid.select("t").distinct().join(done, "t", "left")

@@ -29,7 +29,7 @@ def _pairs(coords: Column) -> Column:
 
 def json_documents(spark: SparkSession, path: str) -> DataFrame:
     """path, value: whole JSON files, gzip read by name."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
 def parse_segmentation(documents: DataFrame, value: str = "value") -> DataFrame:
