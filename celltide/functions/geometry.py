@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,22 +33,22 @@ def area(coords: Column) -> Column:
     return F.abs(signed_area(coords))
 
 
-def degenerate(coords: Column) -> Column:
-    """Fewer than three points, or no area."""
-    return (F.size(coords) < 3) | (area(coords) == 0)
+def degenerate(coords: Column, signed: Column | None = None) -> Column:
+    """Fewer than three points, or no area. `signed`: the signed area, if a column holds it."""
+    return (F.size(coords) < 3) | ((signed_area(coords) if signed is None else signed) == 0)
 
 
-def perimeter(coords: Column) -> Column:
+def perimeter(coords: Column, signed: Column | None = None) -> Column:
     """Length of the closed boundary; NaN for degenerate polygons."""
     edges = F.zip_with(
         coords, _next(coords), lambda a, b: F.sqrt((a["x"] - b["x"]) * (a["x"] - b["x"]) + (a["y"] - b["y"]) * (a["y"] - b["y"]))
     )
-    return F.when(degenerate(coords), F.lit(float("nan"))).otherwise(_sum(edges))
+    return F.when(degenerate(coords, signed), F.lit(float("nan"))).otherwise(_sum(edges))
 
 
-def centroid(coords: Column) -> Column:
+def centroid(coords: Column, signed: Column | None = None) -> Column:
     """Area centroid; the mean of the points where there is no area."""
-    a = signed_area(coords)
+    a = signed_area(coords) if signed is None else signed
     nxt = _next(coords)
     cx = _sum(F.zip_with(coords, nxt, lambda p, q: (p["x"] + q["x"]) * (p["x"] * q["y"] - q["x"] * p["y"])))
     cy = _sum(F.zip_with(coords, nxt, lambda p, q: (p["y"] + q["y"]) * (p["x"] * q["y"] - q["x"] * p["y"])))
@@ -66,10 +67,10 @@ def bounds(coords: Column) -> Column:
     )
 
 
-def boundary_closeness(coords: Column, width: Column, height: Column) -> Column:
+def boundary_closeness(coords: Column, width: Column, height: Column, signed: Column | None = None) -> Column:
     """Distance of the bounding box to the nearest image border; 0 for degenerate polygons."""
     b = bounds(coords)
-    return F.when(degenerate(coords), 0.0).otherwise(F.least(b["x0"], b["y0"], width - b["x1"], height - b["y1"]))
+    return F.when(degenerate(coords, signed), 0.0).otherwise(F.least(b["x0"], b["y0"], width - b["x1"], height - b["y1"]))
 
 
 def consecutive_distances(coords: Column) -> Column:
@@ -151,10 +152,56 @@ def length_width(p: np.ndarray) -> tuple[float, float]:
     return float(max(a, b)), float(min(a, b))
 
 
-@F.pandas_udf(T.StructType([T.StructField("length", T.DoubleType()), T.StructField("width", T.DoubleType())]))
-def rectangle_sides(coords: pd.Series) -> pd.DataFrame:
+def rectangle_sides_of(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Longer and shorter rectangle sides of many convex polygons of m points each, given as (n, m) arrays."""
+    ex, ey = np.roll(x, -1, 1) - x, np.roll(y, -1, 1) - y
+    norm = np.hypot(ex, ey)
+    best = np.full(len(x), np.inf)
+    long, short = np.full(len(x), np.nan), np.full(len(x), np.nan)
+    for k in range(x.shape[1]):  # one side lies on an edge
+        with np.errstate(divide="ignore", invalid="ignore"):
+            u, v = ex[:, k : k + 1] / norm[:, k : k + 1], ey[:, k : k + 1] / norm[:, k : k + 1]
+        a, b = x * u + y * v, y * u - x * v
+        p, q = np.ptp(a, axis=1), np.ptp(b, axis=1)
+        better = p * q < best - 1e-12
+        best = np.where(better, p * q, best)
+        long, short = np.where(better, np.maximum(p, q), long), np.where(better, np.minimum(p, q), short)
+    return long, short
+
+
+def _sides_of_lists(coords: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Rectangle sides of a batch: convex polygons of equal size together, all others by their hulls."""
+    n = len(coords)
+    offsets = coords.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+    values = coords.values
+    xs = values.field("x").to_numpy(zero_copy_only=False).astype(float)
+    ys = values.field("y").to_numpy(zero_copy_only=False).astype(float)
+    size = np.diff(offsets)
+    size[coords.is_null().to_numpy(zero_copy_only=False)] = 0
+    long, short = np.full(n, np.nan), np.full(n, np.nan)
+    for m in np.unique(size[size > 2]).tolist():
+        rows = np.flatnonzero(size == m)
+        at = offsets[rows][:, None] + np.arange(m)
+        x, y = xs[at], ys[at]
+        ex, ey = np.roll(x, -1, 1) - x, np.roll(y, -1, 1) - y
+        fx, fy = np.roll(ex, -1, 1), np.roll(ey, -1, 1)
+        turn = ex * fy - ey * fx
+        around = np.abs(np.arctan2(turn, ex * fx + ey * fy).sum(1))
+        flat = (x * np.roll(y, -1, 1) - np.roll(x, -1, 1) * y).sum(1) == 0
+        convex = ((turn >= 0).all(1) | (turn <= 0).all(1)) & (np.abs(around - 2 * np.pi) < 1e-6)
+        fast = convex & ~flat
+        if fast.any():
+            long[rows[fast]], short[rows[fast]] = rectangle_sides_of(x[fast], y[fast])
+        for i in np.flatnonzero(~convex & ~flat).tolist():
+            long[rows[i]], short[rows[i]] = length_width(np.stack([x[i], y[i]], 1))
+    return long, short
+
+
+@F.arrow_udf(T.StructType([T.StructField("length", T.DoubleType()), T.StructField("width", T.DoubleType())]))
+def rectangle_sides(coords: pa.Array) -> pa.Array:
     """Longer and shorter side of the minimum rotated rectangle; NaN for degenerate polygons."""
-    return pd.DataFrame([length_width(points(c)) for c in coords], columns=["length", "width"])
+    long, short = _sides_of_lists(coords)
+    return pa.StructArray.from_arrays([pa.array(long), pa.array(short)], names=["length", "width"])
 
 
 def clip_convex(subject: np.ndarray, clip: np.ndarray) -> np.ndarray:

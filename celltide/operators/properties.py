@@ -8,7 +8,7 @@ may read the columns of earlier ones.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +31,7 @@ class Context:
     time_unit: str | None = None
     pixels: DataFrame | None = None  # frame, y, x and one column per channel
     by: Sequence[str] = ()
+    signed: Column | None = None  # set by extract(): the signed polygon area, computed once
 
 
 @dataclass
@@ -71,14 +72,14 @@ class AreaEx(Extractor):
     dim, name = 2, "area"
 
     def columns(self, ctx):
-        return {"area": self.calibrated(G.area(F.col("coords")), ctx)}
+        return {"area": self.calibrated(G.area(F.col("coords")) if ctx.signed is None else F.abs(ctx.signed), ctx)}
 
 
 class PerimeterEx(Extractor):
     dim, name = 1, "perimeter"
 
     def columns(self, ctx):
-        return {"perimeter": self.calibrated(G.perimeter(F.col("coords")), ctx)}
+        return {"perimeter": self.calibrated(G.perimeter(F.col("coords"), ctx.signed), ctx)}
 
 
 class CircularityEx(Extractor):
@@ -122,7 +123,7 @@ class PositionEx(Extractor):
     dim, name = 1, "position"
 
     def columns(self, ctx):
-        c = G.centroid(F.col("coords"))
+        c = G.centroid(F.col("coords"), ctx.signed)
         return {f"position_{k}": self.calibrated(c[k], ctx) for k in ("x", "y")}
 
 
@@ -149,7 +150,7 @@ class BoundaryClosenessEx(Extractor):
     def columns(self, ctx):
         if ctx.height is None or ctx.width is None:
             raise ValueError("boundary closeness needs the image height and width")
-        d = G.boundary_closeness(F.col("coords"), F.lit(float(ctx.width)), F.lit(float(ctx.height)))
+        d = G.boundary_closeness(F.col("coords"), F.lit(float(ctx.width)), F.lit(float(ctx.height)), ctx.signed)
         return {"boundary_closeness": self.calibrated(d, ctx)}
 
 
@@ -234,6 +235,9 @@ def extract(
     if check_ids:
         model.require_unique(detections, [*ctx.by, "id"])
     df, found = detections, {}
+    if "coords" in detections.columns:
+        # a projection of its own: several extractors read it, so it isn't inlined
+        df, ctx = df.withColumn("_signed", G.signed_area(F.col("coords"))), replace(ctx, signed=F.col("_signed"))
     for e in extractors:
         df, made = e.apply(df, ctx)
         found.update(made)

@@ -137,6 +137,36 @@ def chain(transforms: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return out.select(*by, "s.frame", "s.transform")
 
 
+def match_lines(lines: DataFrame, reference: DataFrame, max_angle: float = 5.0, by: Sequence[str] = ("frame",)) -> DataFrame:
+    """Each line (by, line, angle, rho) with its nearest reference line (ref, ref_angle, ref_rho) within an angle.
+
+    Unmatched where the second best is no farther than 2.05 times the best (1 at least); a
+    reference line that several lines match keeps the closest.
+    """
+    from celltide.functions import scalars as S
+
+    met = lines.join(reference, F.abs(S.angle_diff(F.col("angle"), F.col("ref_angle"))) <= max_angle)
+    met = met.withColumn("distance", F.abs(F.col("rho") - F.col("ref_rho")))
+    rank = W.partitionBy(*by, "line").orderBy("distance", "ref")
+    met = met.withColumn("_k", F.row_number().over(rank)).withColumn("_second", F.lead("distance").over(rank))
+    best = met.filter("_k = 1").filter(F.col("_second").isNull() | (F.col("_second") > 2.05 * F.greatest(F.col("distance"), F.lit(1.0))))
+    own = W.partitionBy(*by, "ref").orderBy("distance", "line")
+    return best.withColumn("_k", F.row_number().over(own)).filter("_k = 1").select(*by, "line", "ref", "distance")
+
+
+def dedupe_lines(lines: DataFrame, max_angle: float = 5.0, max_rho: float = 6.0, by: Sequence[str] = ("frame",)) -> DataFrame:
+    """Drops a line if a longer one (ties: lower number) lies within the angle and the offset."""
+    from celltide.functions import scalars as S
+
+    keys = list(by)
+    row = F.struct(*[c for c in lines.columns if c not in keys])
+    pairs = lines.select(*keys, row.alias("a")).join(lines.select(*keys, row.alias("b")), keys)
+    longer = (F.col("b.length") > F.col("a.length")) | ((F.col("b.length") == F.col("a.length")) & (F.col("b.line") < F.col("a.line")))
+    close = (F.abs(S.angle_diff(F.col("a.angle"), F.col("b.angle"))) < max_angle) & (F.abs(F.col("a.rho") - F.col("b.rho")) < max_rho)
+    gone = pairs.filter(longer & close).select(*keys, F.col("a.line").alias("line")).distinct()
+    return lines.join(gone, [*keys, "line"], "left_anti")
+
+
 # ---------------------------------------------------------------- estimation
 
 

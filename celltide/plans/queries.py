@@ -945,3 +945,101 @@ def q_windowed(spark, sf):
     e = table(spark, sf, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("area"))
     out = frames.per_window(e, window="6 hours", by=("event_type",))
     return out.select("event_type", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n", _r("total", 4).alias("total"))
+
+
+# ---------------------------------------------------------------- catalogues, headers, lines
+
+
+@query("SELECT c_custkey AS id FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2")
+def q_catalog_images(spark, sf):
+    """Images below a project: region > nation > customer as project > dataset > image."""
+    from celltide.sources import catalog
+
+    images = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("dataset_id"))
+    datasets = table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("project_id"))
+    return catalog.images_in(images, datasets, "Project", 2)
+
+
+@query("SELECT p_partkey FROM part WHERE list_contains(string_split(p_name, ' '), 'red') AND list_contains(string_split(p_name, ' '), 'widget')")
+def q_tags(spark, sf):
+    from celltide.sources import catalog
+
+    return table(spark, sf, "part").filter(catalog.has_all_tags(F.split("p_name", " "), ["red", "widget"])).select("p_partkey")
+
+
+@query(
+    """WITH f AS (SELECT l_orderkey, l_linenumber AS frame, arg_min(l_quantity, l_partkey) AS t FROM lineitem WHERE l_linenumber BETWEEN 1 AND 3 GROUP BY ALL)
+    SELECT l_orderkey, frame - 1 AS frame, t FROM f WHERE l_orderkey IN (SELECT l_orderkey FROM f GROUP BY 1 HAVING count(*) = 3)"""
+)
+def q_plane_timepoints(spark, sf):
+    """First recorded time of each frame, for sequences whose frames are all there."""
+    from celltide.sources import catalog
+
+    planes = table(spark, sf, "lineitem").select(
+        "l_orderkey", F.col("l_partkey").alias("position"), (F.col("l_linenumber") - 1).alias("the_t"), F.col("l_quantity").alias("delta_t")
+    )
+    return catalog.plane_timepoints(planes, 3, ("l_orderkey",))
+
+
+_LINES = "(SELECT user_id AS frame, event_id AS line, (value % 180) - 90 AS angle, event_id % 997 * 1.0 AS rho, value AS length FROM events)"
+
+
+def _lines(spark, sf):
+    return table(spark, sf, "events").select(
+        F.col("user_id").alias("frame"), F.col("event_id").alias("line"), (F.col("value") % 180 - 90).alias("angle"), (F.col("event_id") % 997 * 1.0).alias("rho"), F.col("value").alias("length")
+    )
+
+
+def _turn(a: str, b: str) -> str:
+    return f"abs(({a} - {b} + 90) - floor(({a} - {b} + 90) / 180) * 180 - 90)"
+
+
+@query(
+    f"""SELECT frame, line FROM {_LINES} a WHERE NOT EXISTS (SELECT 1 FROM {_LINES} b WHERE a.frame = b.frame AND (b.length > a.length OR (b.length = a.length AND b.line < a.line))
+    AND {_turn('a.angle', 'b.angle')} < 5 AND abs(a.rho - b.rho) < 60)"""
+)
+def q_dedupe_lines(spark, sf):
+    return registration.dedupe_lines(_lines(spark, sf), 5.0, 60.0).select("frame", "line")
+
+
+@query(
+    f"""WITH r AS (SELECT p_partkey AS ref, p_size * 3.0 - 90 AS ref_angle, p_partkey * 1.0 AS ref_rho FROM part WHERE p_partkey % 20 = 0),
+    m AS (SELECT frame, line, ref, abs(rho - ref_rho) AS distance FROM {_LINES}, r WHERE {_turn('angle', 'ref_angle')} <= 5),
+    k AS (SELECT *, row_number() OVER w AS i, lead(distance) OVER w AS second FROM m WINDOW w AS (PARTITION BY frame, line ORDER BY distance, ref)),
+    b AS (SELECT *, row_number() OVER (PARTITION BY frame, ref ORDER BY distance, line) AS j FROM k WHERE i = 1 AND (second IS NULL OR second > 2.05 * greatest(distance, 1)))
+    SELECT frame, line, ref, distance FROM b WHERE j = 1"""
+)
+def q_match_lines(spark, sf):
+    ref = table(spark, sf, "part").filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("ref"), (F.col("p_size") * 3.0 - 90).alias("ref_angle"), (F.col("p_partkey") * 1.0).alias("ref_rho"))
+    return registration.match_lines(_lines(spark, sf), ref)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice / 500000 >= 0.5 THEN 'ok' ELSE 'rejected' END AS verdict FROM orders")
+def q_gate(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", registration.gate(F.col("o_totalprice") / 500000, 0.5, "reject").alias("verdict"))
+
+
+@query("SELECT o_orderkey, round(greatest(-0.5, least(0.5, CASE WHEN abs(c) < 1e-12 THEN 0 ELSE 0.5 * (a - b) / c END)), 6) AS shift FROM (SELECT o_orderkey, o_custkey % 7 AS a, o_custkey % 5 AS b, o_custkey % 7 - 2 * 9.0 + o_custkey % 5 AS c FROM orders)")
+def q_parabola(spark, sf):
+    k = F.col("o_custkey")
+    v = S.parabolic_refine((k % 7).cast("double"), F.lit(9.0), (k % 5).cast("double"))
+    return table(spark, sf, "orders").select("o_orderkey", _r(v).alias("shift"))
+
+
+@query("SELECT o_orderkey, round(CASE WHEN o_custkey > 0 THEN o_totalprice / o_custkey * 40 END, 3) AS eta FROM orders")
+def q_eta(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", _r(S.eta(F.col("o_totalprice"), F.col("o_custkey"), F.lit(40)), 3).alias("eta"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS utc FROM events")
+def q_utc_text(spark, sf):
+    e = table(spark, sf, "events")
+    return e.select("event_id", S.utc_text(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("utc"))
+
+
+@query(f"SELECT id, x0 || ',' || y0 || ' ' || x1 || ',' || y1 AS polygon FROM (SELECT vec_id AS id, label AS x0, label + 1 AS y0, vec_id % 9 AS x1, 7 AS y1 FROM embeddings)")
+def q_polygon_text(spark, sf):
+    point = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
+    d = table(spark, sf, "embeddings")
+    coords = F.array(point(F.col("label"), F.col("label") + 1), point(F.col("vec_id") % 9, F.lit(7)))
+    return d.select(F.col("vec_id").alias("id"), S.polygon_text(coords).alias("polygon"))

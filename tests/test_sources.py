@@ -208,3 +208,34 @@ def test_streaming_equals_batch(spark, tmp_path):
     finally:
         query.stop()
     assert sorted(map(str, got)) == sorted(map(str, streaming.per_window(df, by=("kind",)).collect()))
+
+
+def test_headers(spark):
+    from celltide.sources import catalog
+
+    xml = "<OME xmlns='x'><Image><Pixels PhysicalSizeX='70' PhysicalSizeXUnit='nm' TimeIncrement='2' TimeIncrementUnit='min'/></Image></OME>"
+    rows = [(xml, "", 0, 1), (None, "ImageJ=1\nunit=micron\nfinterval=900.0\n", 20, 1), (None, "other", 1, 1), ("<OME/>", "", 0, 0)]
+    df = spark.createDataFrame(rows, "x string, d string, n int, m int")
+    got = [tuple(r.c) for r in df.select(catalog.calibration(F.col("x"), F.col("d"), F.col("n"), F.col("m")).alias("c")).collect()]
+    assert got == [(pytest.approx(0.07), 120.0, "ome"), (pytest.approx(0.05), 900.0, "imagej"), (None, None, None), (None, None, "ome")]
+
+
+def test_views(spark, tmp_path):
+    from celltide.views import RotatedCropSpec, SequenceView
+
+    frames = sequences.frames_of_arrays(spark, np.arange(5 * 6 * 6).reshape(5, 6, 6).astype(float))
+    v = SequenceView(frames, 5, 0.1).with_frame_interval("15 minute")
+    s = v[::2]
+    assert len(s) == 3 and [r.t for r in s.time_model().orderBy("frame").collect()] == [0, 30, 60]
+    assert sorted(r.frame for r in s.frames.collect()) == [0, 1, 2]
+    assert len(v[-1]) == 1 and len(v[[4, 0]]) == 2 and [r.t for r in v[[4, 0]].time_model().orderBy("frame").collect()] == [60, 0]
+    with pytest.raises(IndexError):
+        v[5]
+    t = v.with_timepoints([0, 1, 4, 9, 16])
+    assert [r.t for r in t[1:3].time_model().orderBy("frame").collect()] == [1, 4] and SequenceView(frames, 5).time_model() is None
+    assert v.crop(RotatedCropSpec((3.0, 3.0), (2, 2))).frames.first().h == 2
+    assert v.materialize(str(tmp_path / "m")).frames.count() == 5
+    with pytest.raises(ValueError):
+        RotatedCropSpec((0, 0), (0, 1))
+    px = SequenceView(sequences.channel_pixels(frames), 5, 0.1).strided(2, 3)
+    assert px.pixel_size == (0.2, pytest.approx(0.3)) and px.frames.filter("frame = 0").count() == 6
