@@ -54,11 +54,21 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/celltide-{label}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/celltide-{spark.sparkContext.applicationId}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all tables that this application has written to the shared folder, once their results are stored elsewhere."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def map_text(
     df: DataFrame,
     factory: Callable[[], Callable[[list], list]],

@@ -42,3 +42,13 @@ def test_queries_registered():
 
     for n in range(1, 11):
         assert sum(k.startswith(f"op{n}_") for k in queries.QUERIES) == 1
+
+
+def test_tables_are_shared_and_swept(spark, docs):
+    from celltide.llm import common
+
+    first = common.written(docs, "x")
+    files = first.inputFiles()
+    assert files and first.count() == docs.count()
+    common.sweep(spark)
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in files)
