@@ -307,6 +307,22 @@ def label_components(mask: np.ndarray) -> np.ndarray:
     return out
 
 
+def dilated(mask: np.ndarray, n: int) -> np.ndarray:
+    """Widened by n pixels in both directions (square element)."""
+    for axis in (0, 1):
+        p = np.cumsum(np.pad(mask.astype(int), [(n + 1, n) if a == axis else (0, 0) for a in (0, 1)]), axis=axis)
+        hi, lo = [slice(None)] * 2, [slice(None)] * 2
+        hi[axis], lo[axis] = slice(2 * n + 1, None), slice(None, -(2 * n + 1))
+        mask = (p[tuple(hi)] - p[tuple(lo)]) > 0
+    return mask
+
+
+def closed(mask: np.ndarray, n: int) -> np.ndarray:
+    """Widened, then narrowed again; what lies outside the image counts as empty."""
+    wide = dilated(np.pad(mask, n + 1), n)
+    return (~dilated(~wide, n))[n + 1 : -n - 1, n + 1 : -n - 1]
+
+
 def trace(mask: np.ndarray) -> list[np.ndarray]:
     """Outer boundaries of the 4-connected components, as pixel-edge polygons, largest first."""
     lab = label_components(mask)

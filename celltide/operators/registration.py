@@ -270,3 +270,82 @@ def estimate_transforms(
             yield pd.DataFrame(out, columns=[*by, "frame", "transform"])
 
     return frames.join(ref.withColumnRenamed("_ref", "ref_"), list(by)).mapInPandas(run, schema)
+
+
+def pyramid(gray: np.ndarray, levels: int, min_size: int = 16) -> list[np.ndarray]:
+    """Halved and smoothed (binomial 5-tap) until `levels` images or the least size."""
+    out = [gray]
+    kernel = np.array([1, 4, 6, 4, 1]) / 16
+    while len(out) < levels and min(out[-1].shape) // 2 >= min_size:
+        g = out[-1]
+        for axis in (0, 1):
+            p = np.pad(g, [(2, 2) if a == axis else (0, 0) for a in (0, 1)], mode="reflect")
+            n = g.shape[axis]
+            g = sum(k * np.take(p, range(i, i + n), axis=axis) for i, k in enumerate(kernel))
+        out.append(g[::2, ::2])
+    return out
+
+
+def rect_mask(shape: tuple[int, int], rects: Sequence[tuple[float, float, float, float]], shrink: float = 0.0, scale: float = 1.0) -> np.ndarray:
+    """True outside the rectangles (x0, y0, x1, y1), each shrunk on all sides, then scaled."""
+    out = np.ones(shape, bool)
+    for x0, y0, x1, y1 in rects:
+        a, b, c, d = (int(round(v * scale)) for v in (x0 + shrink, y0 + shrink, x1 - shrink, y1 - shrink))
+        out[max(0, b) : max(0, d), max(0, a) : max(0, c)] = False
+    return out
+
+
+def compose_values(first: tuple, second: tuple) -> tuple:
+    """`first`, then `second`, as plain (dx, dy, theta, confidence)."""
+    r = np.radians(second[2])
+    weak = None if first[3] is None or second[3] is None else min(first[3], second[3])
+    x, y = np.cos(r) * first[0] - np.sin(r) * first[1], np.sin(r) * first[0] + np.cos(r) * first[1]
+    return float(second[0] + x), float(second[1] + y), float(first[2] + second[2]), weak
+
+
+def register_sequence(frames: DataFrame, method: RegistrationMethod, mode: str = "reanchor", by: str = "source_id", reference: int = 0) -> DataFrame:
+    """by, frame, transform, anchor: every frame of a sequence against the reference, in frame order.
+
+    'fixed' compares with the reference only, 'chained' with the last good frame, 'reanchor' with the
+    reference and, where that fails, once with the last good frame. Frames that fail have a NULL
+    transform and change nothing. A sequence is one ordered scan, so sequences are the unit of work.
+    """
+    if mode not in ("fixed", "reanchor", "chained"):
+        raise ValueError(f"unknown reference mode {mode!r}")
+    kind = frames.schema[by].dataType.simpleString()
+    schema = f"{by} {kind}, frame int, transform struct<dx:double,dy:double,theta:double,confidence:double>, anchor int"
+
+    def scan(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("frame")
+        images = {int(r.frame): np.frombuffer(r.pixels, np.float32).reshape(r.h, r.w) for r in group.itertuples()}
+        identity = (0.0, 0.0, 0.0, None)
+        last, absolute, out = reference, identity, []
+        for f, image in images.items():
+            if f == reference:
+                out.append((group[by].iloc[0], f, identity, f))
+                continue
+            first = last if mode == "chained" else reference
+            made = None
+            for anchor in [first] + ([last] if mode == "reanchor" and last != reference else []):
+                try:
+                    step = method.estimate(images[anchor], image)
+                except RegistrationError:
+                    continue
+                made = step if anchor == reference else compose_values(absolute, step)
+                break
+            out.append((group[by].iloc[0], f, made, anchor if made else None))
+            if made:
+                last, absolute = f, made
+        return pd.DataFrame(out, columns=[by, "frame", "transform", "anchor"])
+
+    return frames.groupBy(by).applyInPandas(scan, schema)
+
+
+def compare(frames: DataFrame, methods: dict[str, RegistrationMethod], reference: int = 0, by: Sequence[str] = ("source_id",)) -> DataFrame:
+    """by, frame, method, transform: the grid of methods and frames, NULL where a method gives none."""
+    keys = [*by, "frame"]
+    out = None
+    for name, method in methods.items():
+        found = frames.select(*keys).join(estimate_transforms(frames, method, by, reference), keys, "left").withColumn("method", F.lit(name))
+        out = found if out is None else out.unionByName(found)
+    return out

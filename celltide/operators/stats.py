@@ -148,6 +148,14 @@ def growth_rate(
     )
 
 
+def extract_growth(detections: DataFrame, ctx, agg: str = "sum", time_unit: str = "hour", by: Sequence[str] = ()) -> DataFrame:
+    """Frame, time and area of the detections, then the growth rate per time unit."""
+    from celltide.operators import properties as P
+
+    table = P.extract(detections, [P.TimeEx(output_unit=time_unit), P.AreaEx(), P.FrameEx()], ctx)
+    return growth_rate(table, "time", "area", agg, by)
+
+
 # ---------------------------------------------------------------- doubling times over time
 
 

@@ -331,14 +331,56 @@ def plot_data(nodes: DataFrame, edges: DataFrame, ys: DataFrame, time: str = "st
 
 
 def inconsistent_divisions(t: DataFrame, edges: DataFrame, steps: int = 3, label: str = "label") -> DataFrame:
-    """parent, dead_end, survivor: divisions whose one child ends within `steps` frames without children of its own."""
+    """parent, dead_end, survivor: divisions of which one child has no children and spans at most `steps` frames, the other has some."""
     d = degrees(t, edges, label, "parent", "child")
     span = t.join(d, label).select(
-        F.col(label).alias("child"), F.col("out_degree").alias("own"), (F.col("end_frame") - F.col("start_frame") + 1).alias("life"), F.col("start_frame").alias("born")
+        F.col(label).alias("child"), F.col("out_degree").alias("own"), (F.col("end_frame") - F.col("start_frame")).alias("life")
     )
     pairs = edges.join(d.filter("out_degree = 2").select(F.col(label).alias("parent")), "parent").join(span, "child")
-    both = pairs.groupBy("parent").agg(F.array_sort(F.collect_list(F.struct("own", "life", "child"))).alias("c"))
+    both = pairs.groupBy("parent").agg(F.array_sort(F.collect_list(F.struct("own", "child", "life"))).alias("c"))
     dead, other = F.col("c")[0], F.col("c")[1]
-    return both.filter((dead["own"] == 0) & (dead["life"] <= steps)).select(
+    return both.filter((dead["own"] == 0) & (other["own"] >= 1) & (dead["life"] <= steps)).select(
         "parent", dead["child"].alias("dead_end"), other["child"].alias("survivor")
     )
+
+
+def merge_inconsistent(
+    detections: DataFrame, t: DataFrame, edges: DataFrame, steps: int = 3, close: int = 3
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Detections, tracklets and edges after joining dead ends into their surviving sibling.
+
+    In frames that hold both, the two polygons become one: rasters united, closed by `close`
+    pixels and traced (the largest part). Elsewhere the dead end's detections take the
+    survivor's label. The survivor then starts at the earlier of the two starts.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from celltide.functions import geometry as G
+
+    found = inconsistent_divisions(t, edges, steps)
+    moved = found.select(F.col("dead_end").alias("label"), F.col("survivor").alias("to"))
+    named = detections.join(moved, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to").select(*detections.columns)
+    touched = found.select(F.col("survivor").alias("label")).distinct()
+    rest, pool = named.join(touched, "label", "left_anti"), named.join(touched, "label", "left_semi")
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        if len(group) == 1:
+            return group
+        ps = [G.points(c) for c in group["coords"]]
+        low = np.floor(np.min([p.min(0) for p in ps], axis=0)) - close - 1
+        w, h = (np.ceil(np.max([p.max(0) for p in ps], axis=0)) - low).astype(int) + close + 2
+        mask = np.zeros((h, w), bool)
+        for p in ps:
+            mask |= G.raster(p - low, h, w)
+        parts = G.trace(G.closed(mask, close))
+        out = group.sort_values("id").head(1).copy()
+        out["coords"] = [[{"x": float(x), "y": float(y)} for x, y in parts[0] + low]]
+        return out
+
+    joined = pool.groupBy("frame", "label").applyInPandas(one, pool.schema)
+    earlier = found.join(t.select(F.col("label").alias("dead_end"), F.col("start_frame").alias("_s")), "dead_end").select(F.col("survivor").alias("label"), "_s")
+    kept = t.join(found.select(F.col("dead_end").alias("label")), "label", "left_anti").join(earlier, "label", "left")
+    kept = kept.withColumn("start_frame", F.least("start_frame", F.coalesce("_s", "start_frame"))).select(*t.columns)
+    left = edges.join(found.select(F.col("dead_end").alias("child")), "child", "left_anti").select(*edges.columns)
+    return rest.unionByName(joined), kept, left

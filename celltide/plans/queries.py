@@ -667,7 +667,7 @@ def q_ctc_semi(spark, sf):
 @query(
     f"""SELECT e.parent, min(CASE WHEN kids = 0 THEN child END) AS dead_end FROM {_EDGES} e
     JOIN (SELECT t.label, (SELECT count(*) FROM {_EDGES} x WHERE x.parent = t.label) AS kids FROM {_TREE} t) d ON d.label = e.child
-    WHERE e.parent IN (SELECT parent FROM {_EDGES} GROUP BY 1 HAVING count(*) = 2) GROUP BY 1 HAVING min(kids) = 0"""
+    GROUP BY 1 HAVING count(*) = 2 AND min(kids) = 0 AND max(kids) > 0"""
 )
 def q_inconsistent_divisions(spark, sf):
     """Divisions of which one child ends at once."""

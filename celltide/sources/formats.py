@@ -142,6 +142,34 @@ def flat_archive(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(read, "id string, frame int, label string, coords array<struct<x:double,y:double>>")
 
 
+def load_segmentation(spark: SparkSession, path: str, size_t: int | None = None, timepoints: DataFrame | None = None) -> DataFrame:
+    """Detections of a columnar archive, an .npz archive or (gzipped) JSON, told by the name; a time model adds `time`."""
+    from celltide import model
+
+    tail = path.rstrip("/").lower()
+    if tail.endswith(".npz"):
+        out = flat_archive(spark, path)
+    elif tail.endswith((".json", ".json.gz")):
+        out = parse_segmentation(json_documents(spark, path)).drop("path")
+    else:
+        out = load_archive(spark, path)
+    if size_t is not None:
+        out = require_frames(out, size_t)
+    return out if timepoints is None else model.with_time(out, timepoints)
+
+
+CROP = "struct<center:array<double>,size:array<int>,angle:double,frame:int,channel:int,source:string>"
+
+
+def load_crop_specs(documents: DataFrame, value: str = "value") -> DataFrame:
+    """center, size, angle and origin of crop side files."""
+    return documents.select(F.from_json(value, CROP).alias("c")).select("c.*")
+
+
+def crop_spec_json(specs: DataFrame) -> DataFrame:
+    return specs.select(F.to_json(F.struct(*specs.columns)).alias("value"))
+
+
 # ---------------------------------------------------------------- selections and transforms
 
 SELECTION = (

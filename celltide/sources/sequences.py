@@ -126,6 +126,42 @@ def interpolate(img: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return top * (1 - fy) + low * fy
 
 
+def rgb_composite(pixels: DataFrame, colors: dict[str, tuple[int, int, int]], by: Sequence[str] = ("frame",)) -> DataFrame:
+    """by, y, x, r, g, b: each channel scaled to 0..255 over its frame and added in its colour, clipped.
+
+    One channel of grey (255, 255, 255) gives the grey image.
+    """
+    whole = W.partitionBy(*by)
+    scaled = pixels.select(
+        *by, "y", "x", *[S.to_uint8(F.col(c), F.min(c).over(whole), F.max(c).over(whole)).alias(c) for c in colors]
+    )
+    mixed = [
+        F.least(F.lit(255), sum((F.floor(F.col(c) * rgb[k] / 255) for c, rgb in colors.items()), F.lit(0))).cast("int").alias(n)
+        for k, n in enumerate("rgb")
+    ]
+    return scaled.select(*by, "y", "x", *mixed)
+
+
+def stretched(pixels: DataFrame, value: str = "v", percentiles: tuple[float, float] | None = None, by: Sequence[str] = ("frame",)) -> DataFrame:
+    """`pixels` with `byte`: min-max (or percentile) scaling to 0..255, rounded to even; a value that isn't finite is an error."""
+    v = F.col(value)
+    low, high = (F.min(v), F.max(v)) if percentiles is None else tuple(F.percentile(v, F.lit(p / 100)) for p in percentiles)
+    ends = pixels.groupBy(*by).agg(low.alias("_lo"), high.alias("_hi"))
+    joined = pixels.join(ends, list(by))
+    bad = F.raise_error(F.lit("intensities must be finite")).cast("double")
+    ok = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
+    clipped = F.when(ok, F.greatest("_lo", F.least("_hi", v))).otherwise(bad)
+    byte = F.when(F.col("_hi") > F.col("_lo"), F.rint((clipped - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * 255)).otherwise(clipped * 0)
+    return joined.withColumn("byte", byte.cast("int")).drop("_lo", "_hi")
+
+
+def cell_colors(detections: DataFrame, colors: DataFrame, default: tuple[int, int, int] = (128, 128, 128)) -> DataFrame:
+    """Each detection with its colour (id, r, g, b), the default where it has none."""
+    out = detections.join(colors.select("id", F.struct("r", "g", "b").alias("_c")), "id", "left")
+    fill = F.struct(*[F.lit(v).alias(k) for k, v in zip("rgb", default)])
+    return out.withColumn("color", F.coalesce("_c", fill)).drop("_c")
+
+
 # ---------------------------------------------------------------- masks
 
 
@@ -166,20 +202,12 @@ def merge_colonies(detections: DataFrame, height: int, width: int, expand: int =
     A raster form of dilate-unite-erode with a square element; ids are unique over all frames.
     """
 
-    def grow(mask: np.ndarray, n: int) -> np.ndarray:
-        for axis in (0, 1):
-            p = np.cumsum(np.pad(mask.astype(int), [(n + 1, n) if a == axis else (0, 0) for a in (0, 1)]), axis=axis)
-            hi, lo = [slice(None)] * 2, [slice(None)] * 2
-            hi[axis], lo[axis] = slice(2 * n + 1, None), slice(None, -(2 * n + 1))
-            mask = (p[tuple(hi)] - p[tuple(lo)]) > 0
-        return mask
-
     def one(group: pd.DataFrame) -> pd.DataFrame:
         m = expand + 1
         mask = np.zeros((height + 2 * m, width + 2 * m), bool)
         for c in group["coords"]:
             mask |= G.raster(G.points(c) + m, height + 2 * m, width + 2 * m)
-        blob = ~grow(~grow(mask, expand), expand)
+        blob = G.closed(mask, expand)
         rows = [(int(group["frame"].iloc[0]), [{"x": float(x), "y": float(y)} for x, y in p - m], abs(G.shoelace(p))) for p in G.trace(blob)]
         return pd.DataFrame(rows, columns=["frame", "coords", "area"])
 

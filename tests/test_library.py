@@ -504,3 +504,50 @@ def test_estimates_recover_a_shift(spark):
         assert (got.dx, got.dy) == (pytest.approx(-2, abs=0.3), pytest.approx(3, abs=0.3))
     with pytest.raises(registration.RegistrationError):
         registration.PhaseCorrelation().estimate(np.ones((8, 8)), np.ones((8, 8)))
+
+
+def test_merge_inconsistent(spark):
+    t = spark.createDataFrame([(1, 0, 2), (2, 3, 4), (3, 3, 8), (4, 9, 12), (5, 9, 12)], "label bigint, start_frame int, end_frame int")
+    e = spark.createDataFrame([(1, 2), (1, 3), (3, 4), (3, 5)], "parent bigint, child bigint")
+    assert [tuple(r) for r in tracking.inconsistent_divisions(t, e).collect()] == [(1, 2, 3)]
+    assert tracking.inconsistent_divisions(t, e, 0).isEmpty()
+    rows = [(10, 3, 2, None, square(0.5, 0.5, 4.0)), (11, 3, 3, None, square(5.5, 0.5, 4.0)), (12, 4, 3, None, square(0, 0)), (13, 0, 1, None, square(9, 9))]
+    d, kept, edges = tracking.merge_inconsistent(model.detections(spark, rows), t, e)
+    got = {r.id: r for r in d.collect()}
+    assert set(got) == {10, 12, 13} and got[10].label == 3
+    assert abs(G.shoelace(G.points(got[10].coords))) == 4 * 9
+    assert {r.label for r in kept.collect()} == {1, 3, 4, 5} and {tuple(r) for r in edges.collect()} == {(1, 3), (3, 4), (3, 5)}
+
+
+def test_register_sequence_and_compare(spark):
+    from celltide.sources import sequences
+
+    rng = np.random.default_rng(3)
+    big = rng.random((90, 90))
+    for _ in range(3):
+        big = (big + np.roll(big, 1, 0) + np.roll(big, 1, 1) + np.roll(big, (1, 1), (0, 1))) / 4
+    stack = np.stack([big[10 - f : 74 - f, 10 + f : 74 + f] if f != 2 else np.ones((64, 64)) for f in range(5)])
+    frames = sequences.frames_of_arrays(spark, stack)
+    for mode in ("fixed", "reanchor", "chained"):
+        got = {r.frame: r for r in registration.register_sequence(frames, registration.PhaseCorrelation(), mode).collect()}
+        assert got[2].transform is None and got[0].transform.dx == 0
+        assert (got[4].transform.dx, got[4].transform.dy) == (pytest.approx(-4, abs=0.5), pytest.approx(4, abs=0.5))
+        assert got[4].anchor == (3 if mode == "chained" else 0)
+    with pytest.raises(ValueError):
+        registration.register_sequence(frames, registration.PhaseCorrelation(), "other")
+    grid = registration.compare(frames, {"phase": registration.PhaseCorrelation(), "template": registration.TemplateCorrelation((20, 20, 44, 44), 6, 0.5, "reject")})
+    assert grid.count() == 10 and grid.filter("frame = 2 and transform is null").count() == 2
+    assert [p.shape for p in registration.pyramid(np.ones((64, 40)), 5)] == [(64, 40), (32, 20)]
+    m = registration.rect_mask((6, 6), [(0, 0, 4, 4)], 1)
+    assert m.sum() == 36 - 4
+
+
+def test_growth_of_detections(spark):
+    rows, k = [], 0
+    for frame in range(4):
+        for _ in range(2**frame):
+            rows.append((k, frame, 1, None, square(0, 0, 10.0)))
+            k += 1
+    t0 = model.resolve_timepoints(spark, 4, frame_interval=30.0, unit="minute")
+    r = stats.extract_growth(model.detections(spark, rows), P.Context(timepoints=t0)).first()
+    assert r.doubling_time == pytest.approx(0.5) and r.initial_value == pytest.approx(100)

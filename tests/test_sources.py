@@ -239,3 +239,33 @@ def test_views(spark, tmp_path):
         RotatedCropSpec((0, 0), (0, 1))
     px = SequenceView(sequences.channel_pixels(frames), 5, 0.1).strided(2, 3)
     assert px.pixel_size == (0.2, pytest.approx(0.3)) and px.frames.filter("frame = 0").count() == 6
+
+
+def test_loading_by_name_and_crops(spark, tmp_path):
+    import gzip
+
+    doc = [{"frame": 1, "detections": [{"label": "cell", "contour": [[0, 0], [2, 0], [2, 2]], "id": "7"}]}]
+    with gzip.open(tmp_path / "s.json.gz", "wt") as f:
+        json.dump(doc, f)
+    times = model.resolve_timepoints(spark, 3, frame_interval=5.0)
+    got = formats.load_segmentation(spark, str(tmp_path / "s.json.gz"), 3, times).first()
+    assert (got.id, got.time) == ("7", 5.0)
+    with pytest.raises(ValueError):
+        formats.load_segmentation(spark, str(tmp_path / "s.json.gz"), 1)
+    spec = documents(spark, {"center": [1, 2], "size": [3, 4], "angle": 5, "frame": 0})
+    back = formats.load_crop_specs(formats.crop_spec_json(formats.load_crop_specs(spec))).first()
+    assert (back.center, back.size, back.angle, back.channel) == ([1.0, 2.0], [3, 4], 5.0, None)
+
+
+def test_pixels(spark):
+    px = spark.createDataFrame([(0, 0, 0, 0.0, 5.0), (0, 0, 1, 10.0, 5.0), (0, 1, 0, 5.0, 9.0), (1, 0, 0, 3.0, 3.0)], "frame int, y int, x int, a double, b double")
+    got = {(r.frame, r.y, r.x): (r.r, r.g, r.b) for r in sequences.rgb_composite(px, {"a": (255, 0, 0), "b": (255, 255, 0)}).collect()}
+    assert got == {(0, 0, 0): (0, 0, 0), (0, 0, 1): (255, 0, 0), (0, 1, 0): (255, 255, 0), (1, 0, 0): (0, 0, 0)}
+    assert sorted(r.byte for r in sequences.stretched(px, "a").collect()) == [0, 0, 128, 255]
+    from pyspark.errors import PySparkException
+
+    with pytest.raises(PySparkException, match="finite"):
+        sequences.stretched(px.withColumn("a", F.lit(float("nan"))), "a").collect()
+    d = model.detections(spark, [(1, 0, 1, None, square(0, 0)), (2, 0, 1, None, square(0, 0))])
+    colors = spark.createDataFrame([(1, 9, 8, 7)], "id bigint, r int, g int, b int")
+    assert {r.id: tuple(r.color) for r in sequences.cell_colors(d, colors).collect()} == {1: (9, 8, 7), 2: (128, 128, 128)}
