@@ -8,16 +8,17 @@ word with a spare bit each, which takes the carry and is masked off: one additio
 lanes exactly and never overflows the word.
 
 The vector has two parts. The equality part is `EQUAL` words of uniform lanes hashed from the
-whole paragraph. The likeness part is 16 words: every sentence of the paragraph adds one bit
-of its hash to each of 64 lanes. Centred, these are a random-sign projection of the multiset of
-sentences; with A and B the projections' mean squares and S that of their difference,
-1 - S / (A + B) estimates the share 2<a, b> / (|a|^2 + |b|^2) that two documents have in common.
-The last two words count sentences and paragraphs.
+whole paragraph. The likeness part is 16 words: every phrase of the paragraph (up to three words
+in a row, counted anew from each full stop) adds one bit of its hash to each of 64 lanes.
+Centred, these are a random-sign projection of the multiset of phrases; with A and B the
+projections' mean squares and S that of their difference, 1 - S / (A + B) estimates the share
+2<a, b> / (|a|^2 + |b|^2) that two documents have in common. The last two words count phrases and
+paragraphs.
 
 Defined results: null and empty texts have the zero fingerprint, and two zero fingerprints
 are alike to 1; equal texts have equal fingerprints and likeness 1; blank lines count for
-nothing; very long documents are summed sentence by sentence (likeness is exact for up
-to 2^13 sentences of difference); extra columns are ignored.
+nothing; very long documents are summed phrase by phrase (likeness is exact for up to
+2^13 phrases of difference); extra columns are ignored.
 
 Scale: a fingerprint is computed where its row is, without shuffle. The successor of each row
 by id is found in id ranges cut at quantiles, one window per range, with the first row of the
@@ -37,6 +38,7 @@ LIKE = 16
 LANE_MASK = 0x3FFF7FFF7FFF7FFF
 BIT_MASK = 0x0001000100010001
 WORDS = EQUAL + LIKE + 2
+PHRASE = r"[^\s.]+(?: [^\s.]+){0,2}"
 ROWS_PER_RANGE = 2000
 #: Ranges are cut in two steps of up to this many quantiles each.
 CUTS = 64
@@ -46,7 +48,7 @@ def words(text: Column) -> Column:
     """The fingerprint as an array of `WORDS` longs."""
     body = F.coalesce(text, F.lit(""))
     paragraphs = F.filter(F.split(body, "\n"), lambda p: F.length(p) > 0)
-    sentences = F.filter(F.split(body, "\\. |\\n"), lambda s: F.length(s) > 0)
+    phrases = F.regexp_extract_all(body, F.lit(PHRASE), F.lit(0))
     mask, bit = F.lit(LANE_MASK), F.lit(BIT_MASK)
     zero = F.lit(0).cast("long")
 
@@ -59,7 +61,7 @@ def words(text: Column) -> Column:
             (acc["n"] + 1).alias("n"),
         )
 
-    def add_sentence(acc: Column, h: Column) -> Column:
+    def add_phrase(acc: Column, h: Column) -> Column:
         return F.struct(
             *[
                 (acc[f"l{k}"] + F.shiftrightunsigned(h, k).bitwiseAND(bit)).bitwiseAND(mask).alias(f"l{k}")
@@ -72,9 +74,9 @@ def words(text: Column) -> Column:
         paragraphs, F.struct(*[zero.alias(f"e{k}") for k in range(EQUAL)], zero.alias("n")), add_paragraph
     )
     like = F.aggregate(
-        F.transform(sentences, lambda s: F.xxhash64(F.lit(-1), s)),
+        F.transform(phrases, lambda s: F.xxhash64(F.lit(-1), s)),
         F.struct(*[zero.alias(f"l{k}") for k in range(LIKE)], zero.alias("n")),
-        add_sentence,
+        add_phrase,
     )
     both = F.struct(equal.alias("e"), like.alias("l"))
     # evaluated once: the accumulated structs become the array
@@ -113,7 +115,7 @@ def as_text(w: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Estimated common share of two fingerprints, 0 to 1."""
-    at = EQUAL + LIKE  # of the number of sentences
+    at = EQUAL + LIKE  # of the number of phrases
 
     def projections(w: Column) -> Column:
         fields = F.flatten(
