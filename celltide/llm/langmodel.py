@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from celltide.llm.common import slices, written
+from celltide.llm.common import written
 
 BITS = 1 << 28
 PROBES = 4
@@ -42,6 +42,7 @@ TOP = 1 << 18
 PRIOR = 300.0
 #: Tokens that a counting task holds before it sends its blocks.
 HOLD = 3_000_000
+SLICE_TOKENS = 400_000
 MAX_BUCKETS = 1 << 14
 
 _U = np.uint64
@@ -229,6 +230,30 @@ class Model:
         self.segment_bits = len(bits) * 8 // buckets
         self.discount = ones / (ones + 2 * twos) if ones else 0.5
         self.top_hash, self.top_count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self._top_level: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_top_level": None}
+
+    def counts(self, h: np.ndarray) -> np.ndarray:
+        """Exact counts of the most frequent words, -1 for all others."""
+        if not len(self.top_hash):
+            return np.full(len(h), -1, np.int64)
+        at = np.searchsorted(self.top_hash, h).clip(max=len(self.top_hash) - 1)
+        return np.where(self.top_hash[at] == h, self.top_count[at], -1)
+
+    def word_levels(self, h: np.ndarray) -> np.ndarray:
+        """Levels of words; a worker probes the most frequent ones once and remembers them."""
+        if not len(self.top_hash):
+            return self.levels(h)
+        if self._top_level is None:
+            self._top_level = self.levels(self.top_hash)
+        at = np.searchsorted(self.top_hash, h).clip(max=len(self.top_hash) - 1)
+        known = self.top_hash[at] == h
+        out = np.where(known, self._top_level[at], 0)
+        rest = np.flatnonzero(~known)
+        out[rest] = self.levels(h[rest])
+        return out
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """Level of each n-gram hash, 0 where it isn't found."""
@@ -250,18 +275,21 @@ class Model:
     def log_probabilities(self, texts: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each token of the texts, joined."""
         words = np.concatenate(texts)
+        return self._logs(texts, *np.unique(words, return_inverse=True))
+
+    def _logs(self, texts: list[np.ndarray], one: np.ndarray, where: np.ndarray) -> np.ndarray:
+        """The same, given the distinct words and where they stand."""
         if not self.total:
-            return np.zeros(len(words))
+            return np.zeros(len(where))
         value = np.concatenate([[0], LEVELS]).astype(float)
         above = np.concatenate([[0], LEVELS[1:] - 1, LEVELS[-1:]]).astype(float)  # the largest count of a level
-        one, where = np.unique(words, return_inverse=True)
-        level = self.levels(one)
+        level = self.word_levels(one)
         p = np.where(level > 0, value[level] - self.discount, self.discount * self.distinct) / self.total
         most = above[level][where]
         p = p[where]
         two, at = np.unique(np.concatenate([pairs(t) for t in texts]), return_inverse=True)
         seen = value[self.levels(two)][at]
-        before = np.empty(len(words))
+        before = np.empty(len(where))
         before[1:] = most[:-1]
         ends = np.cumsum([len(t) for t in texts])
         before[[0, *ends[:-1]]] = most[-1]  # the end, last token of every text
@@ -335,6 +363,20 @@ SCORED = T.StructType(
 )
 
 
+def _parts(rows) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """Rows (..., text) with their tokens, about `SLICE_TOKENS` at a time: what repeats in a slice is probed once."""
+    part, words, size = [], [], 0
+    for r in rows:
+        part.append(r)
+        words.append(tokens(r[-1]))
+        size += len(words[-1])
+        if size >= SLICE_TOKENS:
+            yield part, words
+            part, words, size = [], [], 0
+    if part:
+        yield part, words
+
+
 def score(
     docs: DataFrame, train: Column, text: str = "text", doc_id: str = "doc_id", bits: int = BITS, top: int = TOP, prior: float = PRIOR
 ) -> DataFrame:
@@ -349,17 +391,14 @@ def score(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
         for batch in batches:
-            for part in slices(zip(*(c.to_pylist() for c in batch.columns)), 128):
-                words = [tokens(r[3]) for r in part]
+            for part, words in _parts(zip(*(c.to_pylist() for c in batch.columns))):
                 bounds = np.cumsum([0, *map(len, words)])
                 flat = np.concatenate(words)
-                logs = model.log_probabilities(words)
-                count = np.full(len(flat), -1, np.int64)
-                if len(model.top_hash):
-                    at = np.searchsorted(model.top_hash, flat).clip(max=len(model.top_hash) - 1)
-                    count = np.where(model.top_hash[at] == flat, model.top_count[at], -1)
-                usual = count >= 0
-                base = np.where(usual, np.log10(count + 1.0, where=usual, out=np.zeros(len(flat))), 0.0)
+                one, where = np.unique(flat, return_inverse=True)
+                logs = model._logs(words, one, where)
+                count = model.counts(one)
+                usual = (count >= 0)[where]
+                base = np.where(count >= 0, np.log10(np.maximum(count, 0) + 1.0), 0.0)[where]
                 sums = [np.add.reduceat(x, bounds[:-1]) for x in (usual.astype(np.int64), base, logs)]
                 rare = [flat[i:j][~usual[i:j]].view(np.int64) for i, j in zip(bounds[:-1], bounds[1:])]
                 yield pa.RecordBatch.from_arrays(
