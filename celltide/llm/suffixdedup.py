@@ -19,9 +19,12 @@ no rows; extra columns are ignored.
 
 Scale: occurrences that repeat within a task are settled there, so a bucket sees an anchor at
 most once per block of a task; equal contexts are merged in each batch before they are sent, so
-thousands of copies of a text cost one context per batch. What is sent is packed and follows
-the amount of repeated text. Texts meet their anchors in one join, and their removed ranges in
-a second one, where the ranges are broadcast only while they are below `BROADCAST_ROWS` texts.
+thousands of copies of a text cost one context per batch. An anchor with more than `HOT`
+contexts (a phrase that very many texts share, with different neighbours) isn't sorted in one
+task: the strings of its contexts are counted by hash, summed before the shuffle, which gives
+the same answer. What is sent follows the amount of repeated text. Texts meet their anchors in one join, and their removed spans in
+a second one; ids of texts and spans are broadcast only while they are of `BROADCAST_ROWS` texts
+and ten times as many numbers at most, and joined by shuffle beyond.
 """
 
 from __future__ import annotations
@@ -43,7 +46,8 @@ ANCHOR = 64
 SHALLOW = 96
 #: Anchors that a task holds before it sends its blocks.
 HOLD = 1_500_000
-BROADCAST_ROWS = 100_000
+HOT = 100_000
+BROADCAST_ROWS = 200_000
 MAX_BUCKETS = 1 << 14
 
 _U = np.uint64
@@ -386,6 +390,23 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), lists], names=["key", "ranges"])
 
 
+def _counted(contexts: DataFrame) -> DataFrame:
+    """key, ranges by counting every string of the contexts: for anchors with too many contexts to meet in one task."""
+    last = F.length("context") - LENGTH
+    strings = contexts.select("key", "many", "context", F.explode(F.sequence(F.lit(0), last)).alias("at"))
+    string = F.substring("context", F.col("at") + 1, F.lit(LENGTH))
+    strings = strings.select("key", "many", "at", F.xxhash64(string).alias("g"), F.xxhash64(F.lit(1), string).alias("h"))
+    times = strings.groupBy("g", "h").agg(F.sum(F.when(F.col("many"), 2).otherwise(1)).alias("n")).filter("n > 1")
+    hits = strings.join(times, ["g", "h"]).groupBy("key").agg(F.collect_set("at").alias("found"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [union([(a, a + LENGTH) for a in found]) for found in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int32()))], names=["key", "ranges"])
+
+    return hits.mapInArrow(run, "key bigint, ranges array<int>")
+
+
 # ---------------------------------------------------------------- on tables
 
 
@@ -399,62 +420,83 @@ RESULT = T.StructType(
 )
 
 
-def cut(raw: bytes, ranges: list[tuple[int, int]]) -> tuple[list[int], bytes]:
-    """The union of the ranges as flat half-open spans, and the bytes outside it."""
+def union(ranges: list[tuple[int, int]]) -> list[int]:
+    """The union of half-open ranges, flat and in order."""
     spans: list[int] = []
     for a, b in sorted(ranges):
         if spans and a <= spans[-1]:
             spans[-1] = max(spans[-1], b)
         else:
             spans += [a, b]
+    return spans
+
+
+def cut(raw: bytes, spans: list[int]) -> bytes:
+    """The bytes outside the spans."""
     edges = [0, *spans, len(raw)]
-    return spans, b"".join([raw[i:j] for i, j in zip(edges[::2], edges[1::2])])
+    return b"".join([raw[i:j] for i, j in zip(edges[::2], edges[1::2])])
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row, spans of (row, lists of (start, flat ranges relative to it))."""
+    for batch in batches:
+        made = []
+        for found in batch.column(1).to_pylist():
+            made.append(union([(x["start"] + a, x["start"] + b) for x in found for a, b in zip(x["ranges"][::2], x["ranges"][1::2])]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["row", "spans"])
 
 
 def removed_ranges(rows: DataFrame) -> DataFrame:
-    """row, ranges (array of (a, b)) of the rows (row, text) that hold repeats."""
+    """row, spans of the rows (row, text) that hold repeats."""
     spark = rows.sparkSession
     wanted = min(MAX_BUCKETS, max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     buckets = 1 << (wanted - 1).bit_length()
     sent = rows.filter(F.octet_length("text") >= LENGTH).mapInArrow(_sent(buckets), "bucket int, kind int, block binary")
     alive = sent.groupBy("bucket").applyInArrow(_repeated, "row bigint, positions array<int>")
-    alive = alive.groupBy("row").agg(F.collect_list("positions").alias("positions"))
+    alive = written(alive.groupBy("row").agg(F.collect_list("positions").alias("positions")), "anchors")
+    if alive.count() <= BROADCAST_ROWS:  # then only texts with repeated anchors are shuffled
+        rows = rows.join(F.broadcast(alive.select("row")), "row", "left_semi")
     joined = rows.join(alive, "row").select("row", "text", "positions")
     made = written(joined.mapInArrow(_contexts, CONTEXTS), "contexts")
     contexts = made.filter("context is not null").select("key", "anchor", "side", "context", "many")
+    hot = written(contexts.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("anchor"), "hot")
+    crowded = None if hot.isEmpty() else contexts.join(hot, "anchor", "left_semi")
+    if crowded is not None:
+        contexts = contexts.join(hot, "anchor", "left_anti").select(*contexts.columns)
     found = contexts.repartition(wanted, "anchor").mapInArrow(_found, "key bigint, ranges array<int>")
     found = found.filter(F.size("ranges") > 0)
+    if crowded is not None:
+        # one context may be sent by several batches
+        found = found.unionByName(_counted(crowded.groupBy("key").agg(F.first("context").alias("context"), ((F.count("*") > 1) | F.max("many")).alias("many"))))
     places = made.filter("row is not null").select("row", "start", "key").join(found, "key")
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.expr("size(ranges) div 2 - 1").cast("int")),
-        lambda k: F.struct(
-            (F.col("start") + F.get("ranges", 2 * k)).alias("a"), (F.col("start") + F.get("ranges", 2 * k + 1)).alias("b")
-        ),
-    )
-    return places.groupBy("row").agg(F.flatten(F.collect_set(pairs)).alias("ranges"))
+    # ranges are many to a row: they are united before they meet the texts
+    listed = places.groupBy("row").agg(F.collect_set(F.struct("start", "ranges")).alias("found"))
+    return listed.mapInArrow(_united, "row bigint, spans array<bigint>")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_bytes, n_removed, spans and kept bytes of every row."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
-    ranges = written(removed_ranges(rows.select("row", "text")), "ranges")
-    side = F.broadcast(ranges) if ranges.count() <= BROADCAST_ROWS else ranges
+    spans = written(removed_ranges(rows.select("row", "text")), "spans")
+    size = spans.agg(F.count("*").alias("rows"), F.sum(F.size("spans")).alias("ends")).first()
+    small = size.rows <= BROADCAST_ROWS and (size.ends or 0) <= 10 * BROADCAST_ROWS
+    side = F.broadcast(spans) if small else spans
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 made = []
-                for t, rs in zip(part.column(1), part.column(2).to_pylist()):
+                for t, found in zip(part.column(1), part.column(2).to_pylist()):
                     raw = t.as_py().encode("utf-8", "replace")
-                    spans, kept = cut(raw, [(x["a"], x["b"]) for x in rs or ()])
-                    made.append((len(raw), len(raw) - len(kept), spans, kept))
+                    kept = cut(raw, found or [])
+                    made.append((len(raw), len(raw) - len(kept), found or [], kept))
                 kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), *(pa.array([m[i] for m in made], k) for i, k in enumerate(kinds))],
                     names=["doc_id", *RESULT.fieldNames()],
                 )
 
-    joined = rows.join(side, "row", "left").select("doc_id", "text", "ranges")
+    joined = rows.join(side, "row", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(run, T.StructType([rows.schema["doc_id"], *RESULT.fields]))

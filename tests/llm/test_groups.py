@@ -34,7 +34,9 @@ def brute_repeats(texts, length=suffixdedup.LENGTH):
     return out
 
 
-def test_repeats(docs, clashing):
+@pytest.mark.parametrize("hot", [suffixdedup.HOT, 1])
+def test_repeats(docs, clashing, hot, monkeypatch):
+    monkeypatch.setattr(suffixdedup, "HOT", hot)
     rows = rows_of(docs)
     want = Counter()
     for (i, t), gone in zip(rows, brute_repeats([t for _, t in rows])):
