@@ -288,6 +288,18 @@ def raster(p: np.ndarray, height: int, width: int) -> np.ndarray:
     return out
 
 
+def pixels(p: np.ndarray, height: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(y, x) of `raster`, worked out inside the polygon's bounds only."""
+    if len(p) < 3:
+        return np.zeros(0, int), np.zeros(0, int)
+    x0, y0 = (int(v) for v in np.maximum(np.floor(p.min(0)), 0))
+    x1, y1 = (int(v) for v in np.minimum(np.ceil(p.max(0)) + 1, (width, height)))
+    if x1 <= x0 or y1 <= y0:
+        return np.zeros(0, int), np.zeros(0, int)
+    y, x = np.nonzero(raster(p - (x0, y0), y1 - y0, x1 - x0))
+    return y + y0, x + x0
+
+
 def label_components(mask: np.ndarray) -> np.ndarray:
     """4-connected components numbered from 1 in row-major order of their first pixel."""
     h, w = mask.shape

@@ -171,9 +171,11 @@ def mask_rows(detections: DataFrame, height: int, width: int, by: Sequence[str]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for r in batch.itertuples(index=False):
-                y, x = np.nonzero(G.raster(G.points(r.coords), height, width))
-                yield pd.DataFrame({**{k: [getattr(r, k)] * len(y) for k in keep}, "y": y, "x": x})
+            found = [G.pixels(G.points(c), height, width) for c in batch["coords"]]
+            times = [len(y) for y, _ in found]
+            made = {k: np.repeat(batch[k].to_numpy(), times) for k in keep}
+            ys, xs = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, int) for i in (0, 1))
+            yield pd.DataFrame({**made, "y": ys, "x": xs})
 
     schema = ", ".join(f"{k} {detections.schema[k].dataType.simpleString()}" for k in keep) + ", y int, x int"
     return detections.select(*keep, "coords").mapInPandas(run, schema)

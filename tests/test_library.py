@@ -118,6 +118,12 @@ def test_raster_and_trace_agree():
         for s, e in zip(p, np.roll(p, -1, axis=0)):
             inside &= (e[0] - s[0]) * (y - s[1]) - (e[1] - s[1]) * (x - s[0]) > 0
         assert (mask == inside).all()
+        again = np.zeros_like(mask)
+        again[G.pixels(p, 30, 30)] = True
+        assert (again == mask).all()
+        cut = np.zeros((18, 17), bool)
+        cut[G.pixels(p, 18, 17)] = True
+        assert (cut == mask[:18, :17]).all()
         if mask.any():
             assert sum(abs(G.shoelace(q)) for q in G.trace(mask)) == mask.sum()
 
