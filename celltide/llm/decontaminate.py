@@ -19,11 +19,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from celltide.llm.common import map_text
 
@@ -156,7 +159,7 @@ def decontaminate(
         items = sorted((r.i, r.t) for r in part.distinct().toLocalIterator())
         shipped = docs.sparkSession.sparkContext.broadcast(items)
 
-        def factory(shipped=shipped, last=p == parts - 1 and parts == 1):
+        def factory(shipped=shipped, whole=parts == 1):
             machine, outputs = _cached(shipped.value, width)
 
             def work(texts: list) -> list:
@@ -164,7 +167,7 @@ def decontaminate(
                 for t in texts:
                     n, ids, runs = scan(t, machine, outputs)
                     hit = sum(runs[1::2]) - sum(runs[::2])
-                    rows.append((n, hit, sorted(ids), runs, original_spans(t, runs) if last and runs else []))
+                    rows.append((n, hit, sorted(ids), runs, original_spans(t, runs) if whole and runs else []))
                 return rows
 
             return work
@@ -177,40 +180,24 @@ def decontaminate(
 
 
 def _joined(docs: DataFrame, names: list[str], text: str) -> tuple[DataFrame, str]:
-    """The union of several parts' hits, row by row."""
-    at = [docs.columns.index(n) for n in names]
+    """The union of several parts' hits, row by row: one struct column in place of the parts'."""
     keep = [c for c in docs.columns if c not in names]
-    carried = F.struct(*[F.col(n) for n in names])
-    packed, out = docs.select(*keep, carried.alias("hits_of_parts")), "hits"
-    while out in keep:
-        out += "_"
-    import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_type
+    rest = docs.select(*keep, F.struct(*names).alias(names[0]))
+    out, kind, where = names[0], to_arrow_type(HITS), keep.index(text)
 
-    kind, where = to_arrow_type(HITS), keep.index(text)
-
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for t, parts in zip(b.column(where).to_pylist(), b.column(len(keep)).to_pylist()):
-                parts = list(parts.values())
-                runs = parts[0]["runs"]
-                for p in parts[1:]:
+            for t, found in zip(b.column(where).to_pylist(), b.column(len(keep)).to_pylist()):
+                parts = list(found.values())
+                runs: list[int] = []
+                for p in parts:
                     runs = _merge(runs, p["runs"])
+                hit = sum(runs[1::2]) - sum(runs[::2])
                 ids = sorted({i for p in parts for i in p["items"]})
-                rows.append(
-                    {
-                        "n_words": parts[0]["n_words"],
-                        "n_hit": sum(runs[1::2]) - sum(runs[::2]),
-                        "items": ids,
-                        "runs": runs,
-                        "spans": original_spans(t or "", runs),
-                    }
-                )
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[: len(keep)], pa.array(rows, type=kind)], names=[*keep, out]
-            )
-
-    assert len(at) == len(names)
+                spans = original_spans(t or "", runs)
+                rows.append({"n_words": parts[0]["n_words"], "n_hit": hit, "items": ids, "runs": runs, "spans": spans})
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(rows, type=kind)], names=[*keep, out])
+
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField(out, HITS)])
-    return packed.mapInArrow(run, schema), out
+    return rest.mapInArrow(run, schema), out
