@@ -191,17 +191,17 @@ def life_cycles(nodes: DataFrame, edges: DataFrame, node: str = "id", frame: str
     return cycles, across.filter("step = 0").select("parent", "child").distinct()
 
 
-def lifecycle_lines(cycles: DataFrame, edges: DataFrame) -> DataFrame:
-    """number, line: `id start end parent` text, numbered from 1 by (start_frame, cycle); parent 0 is none, two are an error."""
+def lifecycle_lines(cycles: DataFrame, edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by, number, line: `id start end parent` text, numbered from 1 by (start_frame, cycle) within `by`; parent 0 is none, two are an error."""
     parents = edges.groupBy(F.col("child").alias("cycle")).agg(F.min("parent").alias("p"), F.count("*").alias("k"))
     message = F.concat(F.lit("several parents of life cycle "), F.col("cycle").cast("string"))
-    numbered = cycles.withColumn("number", F.row_number().over(W.orderBy("start_frame", "cycle")))
+    numbered = cycles.withColumn("number", F.row_number().over(W.partitionBy(*by).orderBy("start_frame", "cycle")))
     joined = numbered.join(parents, "cycle", "left").withColumn(
         "p", F.when(F.col("k") > 1, F.raise_error(message).cast(edges.schema["parent"].dataType)).otherwise(F.col("p"))
     )
     of = numbered.select(F.col("cycle").alias("p"), F.col("number").alias("of"))
     line = F.format_string("%d %d %d %d", "number", "start_frame", "end_frame", F.coalesce("of", F.lit(0)))
-    return joined.join(of, "p", "left").select("number", line.alias("line"))
+    return joined.join(of, "p", "left").select(*by, "number", line.alias("line"))
 
 
 # ---------------------------------------------------------------- paths
@@ -274,10 +274,13 @@ def contract(nodes: DataFrame, edges: DataFrame, keep: Column, node: str = "id")
     return nodes.filter(keep), done.distinct()
 
 
-def subsample_lineage(nodes: DataFrame, edges: DataFrame, factor: int, frame: str = "frame", node: str = "id") -> tuple[DataFrame, DataFrame]:
-    """Keeps every `factor`-th of the sorted distinct frames and joins what lies between."""
-    listed = nodes.select(frame).distinct().withColumn("_p", F.row_number().over(W.orderBy(frame)) - 1)
-    marked = nodes.join(listed.filter(F.col("_p") % factor == 0), frame, "left")
+def subsample_lineage(
+    nodes: DataFrame, edges: DataFrame, factor: int, frame: str = "frame", node: str = "id", by: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """Keeps every `factor`-th of the sorted distinct frames (of each sequence `by`) and joins what lies between."""
+    order = W.partitionBy(*by).orderBy(frame)
+    listed = nodes.select(*by, frame).distinct().withColumn("_p", F.row_number().over(order) - 1)
+    marked = nodes.join(listed.filter(F.col("_p") % factor == 0), [*by, frame], "left")
     n, e = contract(marked, edges, F.col("_p").isNotNull(), node)
     return n.select(*nodes.columns), e
 
@@ -291,8 +294,11 @@ def subsample_tracking(nodes: DataFrame, edges: DataFrame, factor: int, n_frames
     return n.withColumn(frame, (F.col(frame) / factor).cast(nodes.schema[frame].dataType)), e
 
 
-def lineage_y(nodes: DataFrame, edges: DataFrame, time: str = "start_frame", node: str = "label") -> DataFrame:
-    """node, y: leaves in depth-first order of (time, node) along the paths, inner nodes at the mean of their children."""
+def lineage_y(nodes: DataFrame, edges: DataFrame, time: str = "start_frame", node: str = "label", by: Sequence[str] = ()) -> DataFrame:
+    """node, y: leaves in depth-first order of (time, node) along the paths, inner nodes at the mean of their children.
+
+    With `by`, each sequence has an order of its own, and no task orders more than one sequence's leaves.
+    """
     keyed = nodes.select(node, F.struct(F.col(time).alias("t"), F.col(node).alias("k")).alias("key"))
     up = edges.select(F.col("dst").alias(node), F.col("src").alias("up"))
     state = keyed.join(up, node, "left").select(node, "up", F.array("key").alias("path"))
@@ -305,7 +311,10 @@ def lineage_y(nodes: DataFrame, edges: DataFrame, time: str = "start_frame", nod
             node, F.col("up2").alias("up"), F.when(F.col("up").isNull(), F.col("path")).otherwise(F.concat("head", "path")).alias("path")
         )
     inner = edges.select(F.col("src").alias(node)).distinct()
-    leaves = state.join(inner, node, "left_anti").withColumn("y", (F.row_number().over(W.orderBy("path")) - 1).cast("double"))
+    leaves = state.join(inner, node, "left_anti")
+    if by:
+        leaves = leaves.join(nodes.select(*by, node), node)
+    leaves = leaves.withColumn("y", (F.row_number().over(W.partitionBy(*by).orderBy("path")) - 1).cast("double"))
     ys, left = leaves.select(node, "y"), inner
     for _ in range(10 * MAX_ROUNDS):
         if left.isEmpty():

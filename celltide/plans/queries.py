@@ -675,9 +675,12 @@ def q_inconsistent_divisions(spark, sf):
     return tracking.inconsistent_divisions(nodes, edges, 3).select("parent", "dead_end")
 
 
-@query()
+@query(
+    """SELECT label, ((label + 1 - n) * (64 / n) + (64 / n - 1) / 2)::DOUBLE AS y FROM
+    (SELECT c_custkey AS label, pow(2, floor(log2(c_custkey + 1))) AS n FROM customer WHERE c_custkey < 127)"""
+)
 def q_lineage_layout(spark, sf):
-    """Leaves in depth-first order, inner nodes at the mean of their children."""
+    """Leaves in depth-first order, inner nodes at the mean of their children; on a full tree the order is that of the labels."""
     nodes, edges = _tree(spark, sf)
     small = nodes.filter("label < 127")
     e = edges.filter("child < 127").toDF("src", "dst")

@@ -381,6 +381,20 @@ def test_layout(spark):
     assert lines.count() == 4
 
 
+def test_sequences_are_independent(spark):
+    rows = [("a", 0, 0, 2), ("a", 1, 3, 5), ("a", 2, 3, 4), ("b", 10, 0, 2), ("b", 11, 4, 5), ("b", 12, 4, 6)]
+    t = spark.createDataFrame(rows, "source_id string, label long, start_frame int, end_frame int")
+    e = spark.createDataFrame([(0, 1), (0, 2), (10, 11), (10, 12)], "src bigint, dst bigint")
+    y = {r.label: r.y for r in tracking.lineage_y(t, e, by=("source_id",)).collect()}
+    assert y == {1: 0.0, 2: 1.0, 0: 0.5, 11: 0.0, 12: 1.0, 10: 0.5}
+    n = t.select("source_id", F.col("label").alias("id"), F.col("start_frame").alias("frame"))
+    kept, _ = tracking.subsample_lineage(n, e, 2, by=("source_id",))
+    assert {r.id for r in kept.collect()} == {0, 10}
+    cycles = t.select("source_id", F.col("label").alias("cycle"), "start_frame", "end_frame")
+    lines = tracking.lifecycle_lines(cycles, e.toDF("parent", "child"), ("source_id",)).collect()
+    assert {r.line for r in lines if r.source_id == "b"} == {"1 0 2 0", "2 4 5 1", "3 4 6 1"}
+
+
 def test_bands(spark):
     d = spark.createDataFrame([(0.0, 10.0, float(i)) for i in range(6)] + [(8.0, 20.0, 3.0)], "start_time double, end_time double, doubling_time double")
     grid = spark.createDataFrame([(5.0,), (15.0,), (30.0,)], "t double")
