@@ -315,17 +315,12 @@ def lineage_y(nodes: DataFrame, edges: DataFrame, time: str = "start_frame", nod
     if by:
         leaves = leaves.join(nodes.select(*by, node), node)
     leaves = leaves.withColumn("y", (F.row_number().over(W.partitionBy(*by).orderBy("path")) - 1).cast("double"))
-    ys, left = leaves.select(node, "y"), inner
-    for _ in range(10 * MAX_ROUNDS):
-        if left.isEmpty():
-            return ys
-        seen = edges.join(ys.select(F.col(node).alias("dst"), "y"), "dst", "left").groupBy(F.col("src").alias(node)).agg(
-            F.avg("y").alias("y"), F.count_if(F.col("y").isNull()).alias("open")
-        )
-        ready = seen.filter("open = 0").select(node, "y").join(left, node, "left_semi")
-        ys = _cut(ys.union(ready))
-        left = left.join(ys.select(node), node, "left_anti")
-    raise RuntimeError("the graph has a cycle")
+    # a leaf counts for each ancestor with one share per child at every division between them
+    above = leaves.select(F.col(node).alias("_leaf"), "y", F.posexplode("path").alias("_at", "_k")).select("_leaf", "y", "_at", F.col("_k.k").alias(node))
+    children = edges.groupBy(F.col("src").alias(node)).agg((1.0 / F.count("*")).alias("_share"))
+    upward = W.partitionBy("_leaf").orderBy(F.desc("_at"))
+    shared = above.join(children, node, "left").withColumn("_w", F.product(F.coalesce("_share", F.lit(1.0))).over(upward))
+    return shared.groupBy(node).agg(F.sum(F.col("y") * F.col("_w")).alias("y"))
 
 
 def plot_data(nodes: DataFrame, edges: DataFrame, ys: DataFrame, time: str = "start_frame", node: str = "label") -> tuple[DataFrame, DataFrame]:
