@@ -198,7 +198,7 @@ def q_hist_shared_bins(spark, sf):
 
 
 @query(
-    """SELECT o_orderkey AS id, o_totalprice AS area, lines::BIGINT AS lines, round(qty, 2) AS qty, round(c_acctbal, 2) AS balance
+    """SELECT o_orderkey AS id, o_totalprice AS area, coalesce(lines, 0)::BIGINT AS lines, round(qty, 2) AS qty, round(c_acctbal, 2) AS balance
     FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS lines, sum(l_quantity) AS qty FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey
     LEFT JOIN customer ON o_custkey = c_custkey"""
 )
@@ -210,7 +210,7 @@ def q_extract_join(spark, sf):
     owner = orders.join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("o_orderkey").alias("id"), F.round("c_acctbal", 2).alias("balance")
     )
-    return P.combine([base, lines, owner])
+    return P.combine([base, lines, owner]).withColumn("lines", F.coalesce("lines", F.lit(0)).cast("bigint"))
 
 
 @query("SELECT l_orderkey, count(*)::BIGINT AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1")
