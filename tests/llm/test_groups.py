@@ -122,6 +122,54 @@ def test_near_duplicates_empty(empty):
     assert neardup.classes(empty).collect() == [] and neardup.deduplicate(empty).collect() == []
 
 
+def drifted(families=60, own=40, passage=100, seed=11):
+    """Two texts a family, similar to each other only, and a passage that all texts hold."""
+    import random
+
+    rng = random.Random(seed)
+    common = [f"p{rng.randrange(10**6)}" for _ in range(passage)]
+    texts = []
+    for _ in range(families):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(own)]
+        other = list(words)
+        for j in rng.sample(range(own), 12):
+            other[j] = f"x{rng.randrange(10**6)}"
+        texts += [" ".join(words[:20] + common + words[20:]), " ".join(other[:20] + common + other[20:])]
+    return texts
+
+
+@pytest.mark.parametrize("block", [1000, 7])
+def test_near_duplicates_share_a_passage(spark, block, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rows = list(enumerate(drifted()))
+    want = {(i, *c) for (i, _), c in brute_classes(rows).items()}
+    assert {w[2] for w in want} == {2}
+    got = neardup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.class_id, r.class_size) for r in got} == want
+
+
+@pytest.mark.parametrize("least", [0.8, 0.6, 0.4])
+def test_similar_texts_share_a_prefix(least):
+    import random
+
+    rng = random.Random(6)
+    size = neardup.gram_size(least)
+    void = np.zeros(size - 1, np.uint64)
+    met = 0
+    for _ in range(3000):
+        a = [rng.randrange(1, 40) for _ in range(rng.randint(1, 30))]
+        b = list(a)
+        for _ in range(rng.randint(0, len(a) // 3 + 1)):
+            j = rng.randrange(len(b) + 1)
+            b[j : j + rng.randint(0, 1)] = [rng.randrange(1, 40)] * rng.randint(0, 1)
+        a, b = np.array(a, np.uint64), np.array(b, np.uint64)
+        if len(b) and neardup.similar(a, b, least):
+            met += 1
+            first = [set(np.sort(neardup.shingles(np.concatenate([void, x]), size))[: neardup.prefix(len(x), least, size)].tolist()) for x in (a, b)]
+            assert first[0] & first[1]
+    assert met > 500
+
+
 def test_alignment():
     import random
 
