@@ -122,7 +122,7 @@ def test_near_duplicates_empty(empty):
     assert neardup.classes(empty).collect() == [] and neardup.deduplicate(empty).collect() == []
 
 
-def drifted(families=60, own=40, passage=100, seed=11):
+def drifted(families=60, own=40, passage=100, changed=12, seed=11):
     """Two texts a family, similar to each other only, and a passage that all texts hold."""
     import random
 
@@ -132,7 +132,7 @@ def drifted(families=60, own=40, passage=100, seed=11):
     for _ in range(families):
         words = [f"w{rng.randrange(10**6)}" for _ in range(own)]
         other = list(words)
-        for j in rng.sample(range(own), 12):
+        for j in rng.sample(range(own), changed):
             other[j] = f"x{rng.randrange(10**6)}"
         texts += [" ".join(words[:20] + common + words[20:]), " ".join(other[:20] + common + other[20:])]
     return texts
@@ -148,6 +148,13 @@ def test_near_duplicates_share_a_passage(spark, block, monkeypatch):
     assert {(r.doc_id, r.class_id, r.class_size) for r in got} == want
 
 
+def test_near_duplicates_at_the_least_similarity(spark):
+    rows = list(enumerate(drifted(changed=28)))  # of 140 words
+    got = neardup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    want = {(i, *c) for (i, _), c in brute_classes(rows).items()}
+    assert {w[2] for w in want} == {2} and {(r.doc_id, r.class_id, r.class_size) for r in got} == want
+
+
 @pytest.mark.parametrize("least", [0.8, 0.6, 0.4])
 def test_similar_texts_share_a_prefix(least):
     import random
