@@ -138,9 +138,9 @@ def drifted(families=60, own=40, passage=100, changed=12, seed=11):
     return texts
 
 
-@pytest.mark.parametrize("block", [1000, 7])
-def test_near_duplicates_share_a_passage(spark, block, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", block)
+@pytest.mark.parametrize("rare", [1000, 7])
+def test_near_duplicates_share_a_passage(spark, rare, monkeypatch):
+    monkeypatch.setattr(neardup, "RARE", rare)
     rows = list(enumerate(drifted()))
     want = {(i, *c) for (i, _), c in brute_classes(rows).items()}
     assert {w[2] for w in want} == {2}
@@ -155,6 +155,34 @@ def test_near_duplicates_at_the_least_similarity(spark):
     assert {w[2] for w in want} == {2} and {(r.doc_id, r.class_id, r.class_size) for r in got} == want
 
 
+def test_near_duplicates_of_few_words(spark):
+    import random
+
+    rng = random.Random(4)
+    texts = []
+    for n in [2, 4, 5, 5, 6, 7, 8, 9, 10, 10, 11, 12, 13, 14, 15]:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        texts.append(" ".join(words))
+        for _ in range(2):  # as many edits as are allowed
+            other = list(words)
+            for _ in range(int(0.2 * n + 1e-9)):
+                k = rng.randrange(len(other))
+                rng.choice([lambda: other.pop(k), lambda: other.insert(k, "new"), lambda: other.__setitem__(k, "put")])()
+            texts.append(" ".join(other))
+    rows = list(enumerate(texts))
+    got = neardup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.class_id, r.class_size) for r in got} == {(i, *c) for (i, _), c in brute_classes(rows).items()}
+
+
+def test_crowded_texts_lose_no_pair_of_a_rare_gram(spark, monkeypatch):
+    """More texts than `RARE` around one passage: all links that share a rarer 3-gram or word are found."""
+    monkeypatch.setattr(neardup, "RARE", 20)
+    monkeypatch.setattr(neardup, "RARE_WORD", 4)
+    rows = list(enumerate(drifted(changed=26, seed=5)))
+    got = neardup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.class_id, r.class_size) for r in got} == {(i, *c) for (i, _), c in brute_classes(rows).items()}
+
+
 @pytest.mark.parametrize("least", [0.8, 0.6, 0.4])
 def test_similar_texts_share_a_prefix(least):
     import random
