@@ -1,26 +1,30 @@
 """Document fingerprints: a homomorphic multiset hash, in DataFrame operations only.
 
 A document is the multiset of its paragraphs (lines). Each paragraph hashes to a wide vector
-of lanes, and the fingerprint is the sum of the vectors modulo a power of two in every lane
-(2^15; 2^14 in each fourth), so it does not depend on order, and paragraphs can be added to or
-taken from a fingerprint without the rest of the text (`combine`). Four lanes share a 64-bit
-word with a spare bit each, which takes the carry and is masked off: one addition adds four
-lanes exactly and never overflows the word.
-
-The vector has two parts. The equality part is `EQUAL` words of uniform lanes hashed from the
-whole paragraph. The likeness part is 16 words: every phrase of the paragraph (up to three words
-in a row, counted anew from each full stop) adds one bit of its hash to each of 64 lanes.
-Centred, these are a random-sign projection of the multiset of phrases; with A and B the
-projections' mean squares and S that of their difference, 1 - S / (A + B) estimates the share
-2<a, b> / (|a|^2 + |b|^2) that two documents have in common. The last two words count phrases and
-paragraphs.
+of lanes, and the fingerprint is the sum of the vectors modulo a power of two in every lane, so it
+does not depend on order, and paragraphs can be added to or taken from a fingerprint without the
+rest of the text (`combine`). Lanes share 64-bit words with a spare bit each, which takes the carry
+and is masked off: one addition adds the lanes of a word exactly and never overflows it.
+
+The vector has two parts. The equality part is `EQUAL` words of four uniform lanes (modulo 2^15, 2^14
+in each fourth) hashed from the whole paragraph. The likeness part is `BLOCKS` blocks of 64 lanes
+modulo 2^31 (2^30 in the upper half of a word), two to a word: every phrase of the paragraph (up to
+three words in a row, counted anew from each full stop) belongs to one block by a hash and adds one bit
+of another hash to each of its lanes; a last word a block counts its phrases. No text that a column
+can hold has phrases enough to wrap these lanes. Centred, the lanes are a random-sign projection of the
+multiset of phrases; with A and B the projections' mean squares and S that of their difference,
+1 - S / (A + B) estimates the share 2<a, b> / (|a|^2 + |b|^2) that two documents have in common. Its
+standard error, from simulation of 256 lanes: 0.062 at a share of 0, 0.058 at 0.25, 0.047 at 0.5, 0.027
+at 0.75, 0.012 at 0.9. The last word of all counts paragraphs.
 
 Defined results: null and empty texts have the zero fingerprint, and two zero fingerprints
 are alike to 1; equal texts have equal fingerprints and likeness 1; blank lines count for
-nothing; very long documents are summed phrase by phrase (likeness is exact for up to
-2^13 phrases of difference); extra columns are ignored.
+nothing; very long documents are summed whole, `CHUNK` phrases at a time in lanes of 16 bits and
+then in the wide ones; ties (several texts of one id) are in the order of their texts; extra columns
+are ignored.
 
-Scale: a fingerprint is computed where its row is, without shuffle. The successor of each row
+Scale: a fingerprint is computed where its row is, once, after the texts were dealt to id ranges: the
+only shuffle moves the texts. The successor of each row
 by id is found in id ranges cut at quantiles, one window per range, with the first row of the
 next range appended to each, so no task sorts the table.
 """
@@ -32,10 +36,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 EQUAL = 8
-LIKE = 16
+BLOCKS = 4
+#: Words of a block of 64 lanes, two to a word, and the word that counts its phrases.
+LIKE = 32
+WORDS = EQUAL + BLOCKS * (LIKE + 1) + 1
 LANE_MASK = 0x3FFF7FFF7FFF7FFF
+WIDE_MASK = 0x3FFFFFFF7FFFFFFF
 BIT_MASK = 0x0001000100010001
-WORDS = EQUAL + LIKE + 2
+#: Phrases whose bits are summed in lanes of 16 bits before they go to the wide ones.
+CHUNK = 1 << 14
 PHRASE = r"[^\s.]+(?: [^\s.]+){0,2}"
 ROWS_PER_RANGE = 2000
 #: Ranges are cut in two steps of up to this many quantiles each.
@@ -60,50 +69,69 @@ def words(text: Column) -> Column:
         )
 
     def add_phrase(acc: Column, h: Column) -> Column:
-        return F.struct(
-            *[
-                (acc[f"l{k}"] + F.shiftrightunsigned(h, k).bitwiseAND(bit)).bitwiseAND(mask).alias(f"l{k}")
-                for k in range(LIKE)
-            ],
-            (acc["n"] + 1).alias("n"),
+        return F.struct(*[(acc[f"l{k}"] + F.shiftrightunsigned(h, k).bitwiseAND(bit)).alias(f"l{k}") for k in range(16)])
+
+    def packed(hashes: Column) -> Column:
+        """16 words of four lanes of 16 bits, for at most `CHUNK` hashes."""
+        sums = F.aggregate(hashes, F.struct(*[zero.alias(f"l{k}") for k in range(16)]), add_phrase)
+        return F.transform(F.array(sums), lambda x: F.array(*[x[f"l{k}"] for k in range(16)]))[0]
+
+    def widened(x: Column) -> Column:
+        """Two words of two wide lanes each from one of four lanes of 16 bits."""
+        low = F.lit(0x0000FFFF0000FFFF)
+        return F.array(x.bitwiseAND(low), F.shiftrightunsigned(x, 16).bitwiseAND(low))
+
+    def block(hashes: Column) -> Column:
+        many = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(hashes) - 1) / CHUNK).cast("int")),
+            lambda c: F.flatten(F.transform(packed(F.slice(hashes, c * CHUNK + 1, F.lit(CHUNK))), widened)),
         )
+        none = F.array_repeat(zero, LIKE)
+        wide = F.aggregate(many, none, lambda acc, x: F.zip_with(acc, x, lambda p, q: (p + q).bitwiseAND(F.lit(WIDE_MASK))))
+        return F.concat(F.when(F.size(hashes) > 0, wide).otherwise(none), F.array(F.size(hashes).cast("long")))
 
     equal = F.aggregate(
         paragraphs, F.struct(*[zero.alias(f"e{k}") for k in range(EQUAL)], zero.alias("n")), add_paragraph
     )
-    like = F.aggregate(
-        F.transform(phrases, lambda s: F.xxhash64(F.lit(-1), s)),
-        F.struct(*[zero.alias(f"l{k}") for k in range(LIKE)], zero.alias("n")),
-        add_phrase,
-    )
-    both = F.struct(equal.alias("e"), like.alias("l"))
+    hashes = F.transform(phrases, lambda s: F.xxhash64(F.lit(-1), s))
+    both = F.struct(equal.alias("e"), hashes.alias("h"))
     # evaluated once: the accumulated structs become the array
     return F.transform(
         F.array(both),
-        lambda x: F.array(
-            *[x["e"][f"e{k}"] for k in range(EQUAL)],
-            *[x["l"][f"l{k}"] for k in range(LIKE)],
-            x["l"]["n"],
-            x["e"]["n"],
+        lambda x: F.concat(
+            F.array(*[x["e"][f"e{k}"] for k in range(EQUAL)]),
+            F.flatten(
+                F.transform(
+                    F.array(*[F.lit(k) for k in range(BLOCKS)]),
+                    lambda k: F.transform(
+                        F.array(F.filter(x["h"], lambda h: F.pmod(F.xxhash64(h), F.lit(BLOCKS)) == k)), block
+                    )[0],
+                )
+            ),
+            F.array(x["e"]["n"]),
         ),
     )[0]
 
 
 def combine(a: Column, b: Column, remove: bool = False) -> Column:
     """The fingerprint of a's paragraphs with b's added (or removed)."""
-    mask = F.lit(LANE_MASK)
-    one = F.lit(BIT_MASK)
 
-    def lanes(x: Column, y: Column) -> Column:
-        if remove:  # the negative of every lane: complement plus one
-            y = (y.bitwiseXOR(mask) + one).bitwiseAND(mask)
-        return (x + y).bitwiseAND(mask)
+    def lanes(mask: int, one: int):
+        def of(x: Column, y: Column) -> Column:
+            if remove:  # the negative of every lane: complement plus one
+                y = (y.bitwiseXOR(F.lit(mask)) + F.lit(one)).bitwiseAND(F.lit(mask))
+            return (x + y).bitwiseAND(F.lit(mask))
 
-    head = F.zip_with(F.slice(a, 1, EQUAL + LIKE), F.slice(b, 1, EQUAL + LIKE), lanes)
-    tail = F.zip_with(
-        F.slice(a, EQUAL + LIKE + 1, 2), F.slice(b, EQUAL + LIKE + 1, 2), lambda x, y: x - y if remove else x + y
-    )
-    return F.concat(head, tail)
+        return of
+
+    count = lambda x, y: x - y if remove else x + y
+    parts = [F.zip_with(F.slice(a, 1, EQUAL), F.slice(b, 1, EQUAL), lanes(LANE_MASK, BIT_MASK))]
+    for k in range(BLOCKS):
+        at = EQUAL + k * (LIKE + 1) + 1
+        parts.append(F.zip_with(F.slice(a, at, LIKE), F.slice(b, at, LIKE), lanes(WIDE_MASK, 0x0000000100000001)))
+        parts.append(F.zip_with(F.slice(a, at + LIKE, 1), F.slice(b, at + LIKE, 1), count))
+    parts.append(F.zip_with(F.slice(a, WORDS, 1), F.slice(b, WORDS, 1), count))
+    return F.concat(*parts)
 
 
 def as_text(w: Column) -> Column:
@@ -113,32 +141,34 @@ def as_text(w: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Estimated common share of two fingerprints, 0 to 1."""
-    at = EQUAL + LIKE  # of the number of phrases
+    # each fingerprint is evaluated once, however it is computed
+    return F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda p: _likeness(p["a"], p["b"]))[0]
+
 
+def _likeness(a: Column, b: Column) -> Column:
     def projections(w: Column) -> Column:
-        fields = F.flatten(
-            F.transform(
-                F.slice(w, EQUAL + 1, LIKE),
-                lambda x: F.array(*[F.shiftrightunsigned(x, 16 * j).bitwiseAND(F.lit(0x7FFF)) for j in range(4)]),
-            )
+        """Twice each lane less the number of phrases of its block."""
+        blocks = F.transform(
+            F.array(*[F.lit(EQUAL + k * (LIKE + 1)) for k in range(BLOCKS)]),
+            lambda at: F.flatten(
+                F.transform(
+                    F.slice(w, at + 1, F.lit(LIKE)),
+                    lambda x: F.array(
+                        *[2 * F.shiftrightunsigned(x, 32 * j).bitwiseAND(F.lit(0x7FFFFFFF)) - F.get(w, at + LIKE) for j in range(2)]
+                    ),
+                )
+            ),
         )
-        return F.transform(fields, lambda v: 2 * v - w[at])
+        return F.flatten(blocks)
 
     def square(xs: Column) -> Column:
-        return F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + (x * x).cast("double"))
-
-    wrap = 1 << 15  # twice a lane is known modulo 2^15 at least
-
-    def centred(x: Column) -> Column:
-        return F.pmod(x + F.lit(wrap // 2), F.lit(wrap)) - F.lit(wrap // 2)
+        return F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
 
     pair = F.struct(projections(a).alias("a"), projections(b).alias("b"))
     parts = F.transform(
         F.array(pair),
         lambda p: F.struct(
-            square(F.transform(p["a"], centred)).alias("a"),
-            square(F.transform(p["b"], centred)).alias("b"),
-            square(F.zip_with(p["a"], p["b"], lambda x, y: centred(x - y))).alias("s"),
+            square(p["a"]).alias("a"), square(p["b"]).alias("b"), square(F.zip_with(p["a"], p["b"], lambda x, y: x - y)).alias("s")
         ),
     )[0]
     estimate = F.transform(
@@ -201,7 +231,7 @@ def fingerprint(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """doc_id, text, words, and next: (text, words) of the next row by (id, text), after the last the first."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     order = W.partitionBy("range").orderBy("head", F.col("doc_id").asc_nulls_first(), "text")
-    hashed = with_heads(rows).withColumn("words", words(F.col("text")))
+    hashed = with_heads(rows).repartition("range").withColumn("words", words(F.col("text")))
     return (
         hashed.withColumn("next", F.lead(F.struct("text", "words")).over(order))
         .filter(~F.col("head"))

@@ -1,14 +1,16 @@
 """Language identification by nearest centroid.
 
-Texts are lower-cased; everything but letters becomes one space; hashed byte bigrams and
+Texts are lower-cased; ASCII characters but letters become one space (other scripts' characters and
+punctuation stay); hashed byte bigrams and
 trigrams are weighted by TF-IDF (document frequencies over all training rows) and normalised.
 A bounded sample of each language is clustered into several centroids by spherical k-means,
 and a text takes the language of the centroid of highest cosine. A text whose cosine lies
 below a floor set from its language's own sample is marked as rejected.
 
-Defined results: null texts and texts without a letter are `und`, score 0, rejected; rows
+Defined results: null texts and texts without a letter (general category L) are `und`, score 0, rejected; rows
 with a null language aren't learned from; ties go to the language that sorts first; with
-nothing to learn from every text is `und`; repeated rows each keep their row; extra columns
+nothing to learn from every text is `und`; repeated rows each keep their row; very long
+texts are counted whole, in memory that grows with them; an empty table gives no rows; extra columns
 pass through.
 
 Scale: one pass counts document frequencies (a fixed number of dimensions per task, summed
@@ -18,7 +20,6 @@ sample's.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,13 +49,12 @@ RESULT = T.StructType(
     ]
 )
 
-_LETTER = re.compile(r"[^\W\d_]")
 _SPACES = bytes(b if b >= 0x80 or 97 <= b <= 122 else 32 for b in range(256))
 
 
 def grams(text: str | None) -> np.ndarray | None:
     """Counts of the hashed byte bigrams and trigrams; None where there is no letter."""
-    if not text or _LETTER.search(text) is None:
+    if not text or not any(map(str.isalpha, text)):  # general category L
         return None
     flat = b" ".join(text.lower().encode("utf-8", "replace").translate(_SPACES).split())
     b = np.frombuffer(b" " + flat + b" ", np.uint8).astype(np.uint32)

@@ -5,7 +5,9 @@ it reaches the q-th threshold (exact counts first, then steps of about 15 %). An
 q is entered in the filter once for each level up to q, and a query probes levels 1, 2, 3, ...
 until one is missing; the last found level gives a lower bound of the count. Probabilities are
 smoothed: words by absolute discounting, the discounted mass going to the class of unseen
-words; pairs by a Dirichlet prior on the word's probability.
+words; pairs by a Dirichlet prior on the word's probability. As in every such filter, a pair that
+never occurred is found now and then, so the probabilities of V words after one that occurs c times
+sum to 1 + 0.0017 V / (c + `PRIOR`) in the mean, not to 1.
 
 The exact add-one baseline beside it uses exact counts: the most frequent words are broadcast
 (at most `TOP` of them), the counts of all other words reach the texts by a join.
@@ -16,14 +18,19 @@ each keep their row; an empty table gives no rows; extra columns are ignored. Wo
 apart by 64-bit hashes.
 
 Scale: tasks send one packed block of sorted distinct n-grams and counts per hash bucket and a
-few million tokens, and each bucket owns a segment of the filter, so nothing is merged on the
-driver but the segments laid side by side. The filter has at most `BITS` bits whatever the
-corpus: once a segment would be over `FILL` full, its bucket raises the count from which pairs
-(then words) enter it, which all count, and all are counted, over the whole corpus.
+few million tokens. The number of buckets follows the bytes of text (`BUCKET_BYTES` each), and each
+bucket makes its own segment of the filter, as large as its n-grams need at `FILL`: every n-gram of
+the training texts is in the filter, which grows with the corpus. A filter of up to `BROADCAST_BYTES`
+is broadcast to the workers, which is what usual vocabularies need. A larger one stays in its segments:
+the distinct n-grams of about `SLICE_TOKENS` tokens of text are dealt to the segments' buckets, probed
+there and the levels sent back to their texts. Both ways give the same scores. Very long texts are
+scored whole, in memory that grows with their tokens.
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,19 +38,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from celltide.llm.common import written
 
-BITS = 1 << 28
-PROBES = 4
-#: Bits set per bit of a segment at most, before false positives matter.
-FILL = 0.4
+#: Bits of an n-gram for its first level, and for each further one.
+FIRST, PROBES = 8, 6
+#: Bits set per bit of a segment: with 45 % of them ones, an n-gram that is not there is found with a
+#: probability of 0.0017, and one that is there at a level too high with 0.0083.
+FILL = 0.6
+BUCKET_BYTES = 32 << 20
+BROADCAST_BYTES = 128 << 20
 TOP = 1 << 18
 PRIOR = 300.0
 #: Tokens that a counting task holds before it sends its blocks.
 HOLD = 3_000_000
 SLICE_TOKENS = 400_000
-MAX_BUCKETS = 1 << 14
+MAX_BUCKETS = 1 << 16
 
 _U = np.uint64
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -159,62 +170,66 @@ def level_of(n: np.ndarray) -> np.ndarray:
     return np.searchsorted(LEVELS, n, side="right")
 
 
-def _positions(h: np.ndarray, level: int, probe: int, bits: int) -> np.ndarray:
+def _positions(h: np.ndarray, level: int, probe: int, bits: np.ndarray | np.uint64) -> np.ndarray:
+    """Below `bits`, which are fewer than 2^32."""
     salt = _U((level * 0x9E3779B97F4A7C15 + probe * 0x632BE59BD9B4E019) & (1 << 64) - 1)
-    return _mix(h + salt) & _U(bits - 1)
-
-
-def segment(words: tuple, two: tuple, bits: int) -> tuple[np.ndarray, int, int]:
-    """The filter segment of one bucket, and the least counts of words and of pairs in it."""
-    room = FILL * bits
-    least = []
-    for h, n in (words, two):
-        q = level_of(n)
-        # insertions of all n-grams of count >= c, for the thresholds c in turn
-        use = np.bincount(q, weights=q, minlength=len(LEVELS) + 1)[1:][::-1].cumsum()[::-1] * PROBES
-        fits = np.flatnonzero(use <= room)
-        c = int(LEVELS[fits[0]]) if len(fits) else int(LEVELS[-1])
-        least.append(c)
-        room -= float(q[n >= c].sum()) * PROBES
-    out = np.zeros(bits // 8, np.uint8)
-    for (h, n), c in zip((words, two), least):
-        h, q = h[n >= c], level_of(n[n >= c])
-        level = 1
-        while len(h):
-            for p in range(PROBES):
-                at = _positions(h, level, p, bits)
-                np.bitwise_or.at(out, (at >> _U(3)).astype(np.int64), np.left_shift(1, at & _U(7)).astype(np.uint8))
-            level += 1
-            keep = q >= level
-            h, q = h[keep], q[keep]
-    return out, least[0], least[1]
+    return ((_mix(h + salt) >> _U(32)) * bits) >> _U(32)
+
+
+def segment(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The filter segment of the n-grams of one bucket: every one, with all its levels."""
+    q = level_of(n)
+    size = max(64, -(-int((q.sum() * PROBES + len(q) * (FIRST - PROBES)) / FILL) // 64) * 64)
+    if size >= 1 << 32:
+        raise ValueError("a bucket holds too many n-grams: lower BUCKET_BYTES")
+    out, bits, level = np.zeros(size // 8, np.uint8), _U(size), 1
+    while len(h):
+        for p in range(FIRST if level == 1 else PROBES):
+            at = _positions(h, level, p, bits)
+            np.bitwise_or.at(out, (at >> _U(3)).astype(np.int64), np.left_shift(1, at & _U(7)).astype(np.uint8))
+        level += 1
+        keep = q >= level
+        h, q = h[keep], q[keep]
+    return out
+
+
+def probe(h: np.ndarray, bits: np.ndarray, base: np.ndarray | np.uint64, size: np.ndarray | np.uint64) -> np.ndarray:
+    """Level of each n-gram hash in the segment of `size` bits from bit `base` on, 0 where it isn't found."""
+    out = np.zeros(len(h), np.int64)
+    live, level = np.arange(len(h)), 0
+    base, size = np.broadcast_to(base, len(h)), np.broadcast_to(size, len(h))
+    while len(live):
+        level += 1
+        for p in range(FIRST if level == 1 else PROBES):
+            at = base[live] + _positions(h[live], level, p, size[live])
+            set_ = bits[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8) & 1
+            live = live[set_ == 1]
+        out[live] = level
+    return out
 
 
 MERGED = "bucket int, segment binary, words binary, stats array<bigint>"
 
 
-def _merged(bits: int):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        parts: dict[int, tuple] = {}
-        for kind in (1, 2):
-            got = [_unpack(x) for k, x in zip(table["kind"].to_pylist(), table["block"].to_pylist()) if k == kind]
-            h = np.concatenate([g[0] for g in got]) if got else np.zeros(0, np.uint64)
-            n = np.concatenate([g[1] for g in got]) if got else np.zeros(0, np.int64)
-            parts[kind] = _summed(h, n)
-        made, c1, c2 = segment(parts[1], parts[2], bits)
-        h, n = parts[1]
-        stats = [int(n.sum()), len(n), int((n == 1).sum()), int((n == 2).sum()), c1, c2, len(parts[2][0])]
-        words = h.tobytes() + n.tobytes()
-        return pa.table(
-            {
-                "bucket": pa.array([key[0].as_py()], pa.int32()),
-                "segment": pa.array([made.tobytes()], pa.binary()),
-                "words": pa.array([words], pa.binary()),
-                "stats": pa.array([stats], pa.list_(pa.int64())),
-            }
-        )
-
-    return run
+def _merged(key: tuple, table: pa.Table) -> pa.Table:
+    parts: dict[int, tuple] = {}
+    for kind in (1, 2):
+        got = [_unpack(x) for k, x in zip(table["kind"].to_pylist(), table["block"].to_pylist()) if k == kind]
+        h = np.concatenate([g[0] for g in got]) if got else np.zeros(0, np.uint64)
+        n = np.concatenate([g[1] for g in got]) if got else np.zeros(0, np.int64)
+        parts[kind] = _summed(h, n)
+    made = segment(*(np.concatenate(x) for x in zip(parts[1], parts[2])))
+    h, n = parts[1]
+    stats = [int(n.sum()), len(n), int((n == 1).sum()), int((n == 2).sum()), len(made), len(parts[2][0])]
+    words = h.tobytes() + n.tobytes()
+    return pa.table(
+        {
+            "bucket": pa.array([key[0].as_py()], pa.int32()),
+            "segment": pa.array([made.tobytes()], pa.binary()),
+            "words": pa.array([words], pa.binary()),
+            "stats": pa.array([stats], pa.list_(pa.int64())),
+        }
+    )
 
 
 def _word_table(block: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -223,11 +238,13 @@ def _word_table(block: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """The filter with its totals, and the exact counts of the most frequent words."""
+    """The totals, the exact counts of the most frequent words, and the filter where it is small enough (bits)."""
 
-    def __init__(self, bits: np.ndarray, buckets: int, total: int, distinct: int, ones: int, twos: int, prior: float):
-        self.bits, self.buckets, self.total, self.distinct, self.prior = bits, buckets, total, distinct, prior
-        self.segment_bits = len(bits) * 8 // buckets
+    def __init__(self, buckets: int, sizes: np.ndarray, total: int, distinct: int, ones: int, twos: int, prior: float):
+        self.buckets, self.total, self.distinct, self.prior = buckets, total, distinct, prior
+        self.sizes = sizes.astype(np.uint64) * _U(8)
+        self.bases = np.cumsum(self.sizes, dtype=np.uint64) - self.sizes
+        self.bits: np.ndarray | None = None
         self.discount = ones / (ones + 2 * twos) if ones else 0.5
         self.top_hash, self.top_count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self._top_level: np.ndarray | None = None
@@ -242,6 +259,10 @@ class Model:
         at = np.searchsorted(self.top_hash, h).clip(max=len(self.top_hash) - 1)
         return np.where(self.top_hash[at] == h, self.top_count[at], -1)
 
+    def bucket_of(self, h: np.ndarray) -> np.ndarray:
+        log = self.buckets.bit_length() - 1
+        return (h >> _U(64 - log)).astype(np.int64) if log else np.zeros(len(h), np.int64)
+
     def word_levels(self, h: np.ndarray) -> np.ndarray:
         """Levels of words; a worker probes the most frequent ones once and remembers them."""
         if not len(self.top_hash):
@@ -257,38 +278,27 @@ class Model:
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """Level of each n-gram hash, 0 where it isn't found."""
-        out = np.zeros(len(h), np.int64)
         if not self.total:
-            return out
-        log = self.buckets.bit_length() - 1
-        base = (h >> _U(64 - log)) * _U(self.segment_bits) if log else np.zeros(len(h), np.uint64)
-        live, level = np.arange(len(h)), 0
-        while len(live):
-            level += 1
-            for p in range(PROBES):
-                at = base[live] + _positions(h[live], level, p, self.segment_bits)
-                set_ = self.bits[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8) & 1
-                live = live[set_ == 1]
-            out[live] = level
-        return out
+            return np.zeros(len(h), np.int64)
+        at = self.bucket_of(h)
+        return probe(h, self.bits, self.bases[at], self.sizes[at])
 
     def log_probabilities(self, texts: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each token of the texts, joined."""
-        words = np.concatenate(texts)
-        return self._logs(texts, *np.unique(words, return_inverse=True))
+        one, where = np.unique(np.concatenate(texts), return_inverse=True)
+        two, at = np.unique(np.concatenate([pairs(t) for t in texts]), return_inverse=True)
+        return self.logs(texts, where, self.word_levels(one), at, self.levels(two))
 
-    def _logs(self, texts: list[np.ndarray], one: np.ndarray, where: np.ndarray) -> np.ndarray:
-        """The same, given the distinct words and where they stand."""
+    def logs(self, texts: list[np.ndarray], where: np.ndarray, level: np.ndarray, at: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The same, given the levels of the distinct words and pairs, and where they stand."""
         if not self.total:
             return np.zeros(len(where))
         value = np.concatenate([[0], LEVELS]).astype(float)
         above = np.concatenate([[0], LEVELS[1:] - 1, LEVELS[-1:]]).astype(float)  # the largest count of a level
-        level = self.word_levels(one)
         p = np.where(level > 0, value[level] - self.discount, self.discount * self.distinct) / self.total
         most = above[level][where]
         p = p[where]
-        two, at = np.unique(np.concatenate([pairs(t) for t in texts]), return_inverse=True)
-        seen = value[self.levels(two)][at]
+        seen = value[two][at]
         before = np.empty(len(where))
         before[1:] = most[:-1]
         ends = np.cumsum([len(t) for t in texts])
@@ -298,20 +308,30 @@ class Model:
 
 
 def learn(
-    docs: DataFrame, train: Column, text: str = "text", bits: int = BITS, top: int = TOP, prior: float = PRIOR
-) -> tuple[Model, DataFrame]:
-    """The model, and the table (h, c) of exact word counts."""
-    spark = docs.sparkSession
-    wanted = min(MAX_BUCKETS, max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    buckets = 1 << (wanted - 1).bit_length()
-    blocks = docs.filter(train).select(text).mapInArrow(_counted(buckets), "bucket int, kind int, block binary")
-    merged = written(blocks.groupBy("bucket").applyInArrow(_merged(bits // buckets), MERGED), "ngrams")
-    stats = np.array([r.stats for r in merged.select("stats").collect()], np.int64).reshape(-1, 7)
-    filled = np.zeros((buckets, bits // buckets // 8), np.uint8)
-    for r in merged.select("bucket", "segment").toLocalIterator():
-        filled[r.bucket] = np.frombuffer(r.segment, np.uint8)
-    total, distinct, ones, twos = (int(x) for x in stats[:, :4].sum(0))
-    model = Model(filled.ravel(), buckets, total, distinct, ones, twos, prior)
+    docs: DataFrame,
+    train: Column,
+    text: str = "text",
+    top: int = TOP,
+    prior: float = PRIOR,
+    bucket_bytes: int = BUCKET_BYTES,
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> tuple[Model, DataFrame, DataFrame]:
+    """The model, the table (h, c) of exact word counts, and the table of the filter's segments (bucket, segment)."""
+    learnt = docs.filter(train).select(text)
+    size = learnt.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = min(MAX_BUCKETS, 1 << max(4, int(np.ceil(np.log2(size / bucket_bytes + 1e-9)))))
+    blocks = learnt.mapInArrow(_counted(buckets), "bucket int, kind int, block binary")
+    merged = written(blocks.groupBy("bucket").applyInArrow(_merged, MERGED), "ngrams")
+    stats = {r.bucket: r.stats for r in merged.select("bucket", "stats").collect()}  # six numbers a bucket
+    table = np.array([stats.get(k, [0] * 6) for k in range(buckets)], np.int64)
+    sizes = np.maximum(table[:, 4], 8)
+    total, distinct, ones, twos = (int(x) for x in table[:, :4].sum(0))
+    model = Model(buckets, sizes, total, distinct, ones, twos, prior)
+    if int(sizes.sum()) <= broadcast_bytes:
+        model.bits = np.zeros(int(sizes.sum()), np.uint8)
+        starts = (model.bases >> _U(3)).astype(np.int64)
+        for r in merged.select("bucket", "segment").toLocalIterator():
+            model.bits[starts[r.bucket] : starts[r.bucket] + len(r.segment)] = np.frombuffer(r.segment, np.uint8)
 
     def grades(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(len(LEVELS) + 1, np.int64)
@@ -349,7 +369,7 @@ def learn(
                 h, c = _word_table(x.as_py())
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["h", "c"])
 
-    return model, words.mapInArrow(rows, "h bigint, c bigint")
+    return model, words.mapInArrow(rows, "h bigint, c bigint"), merged.select("bucket", "segment")
 
 
 SCORED = T.StructType(
@@ -377,42 +397,113 @@ def _parts(rows) -> Iterator[tuple[list, list[np.ndarray]]]:
         yield part, words
 
 
+def _scored(model: Model, part: list, words: list[np.ndarray], where: np.ndarray, one: np.ndarray, logs: np.ndarray, kinds: list) -> pa.RecordBatch:
+    """Sums of each row (doc_id, held_out, d, text) over its tokens, and the words that the model has no exact count of."""
+    bounds = np.cumsum([0, *map(len, words)])
+    flat = np.concatenate(words)
+    count = model.counts(one)
+    usual = (count >= 0)[where]
+    base = np.where(count >= 0, np.log10(np.maximum(count, 0) + 1.0), 0.0)[where]
+    sums = [np.add.reduceat(x, bounds[:-1]) for x in (usual.astype(np.int64), base, logs)]
+    rare = [flat[i:j][~usual[i:j]].view(np.int64) for i, j in zip(bounds[:-1], bounds[1:])]
+    return pa.RecordBatch.from_arrays(
+        [
+            *(pa.array([r[k] for r in part], type=kinds[k]) for k in range(3)),
+            pa.array(np.diff(bounds)),
+            *(pa.array(x) for x in sums),
+            pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rare)]), pa.int32()), pa.array(np.concatenate(rare))),
+        ],
+        names=["doc_id", "held_out", "d", *SCORED.fieldNames()],
+    )
+
+
+def _asked(buckets: int):
+    """slice, bucket, held: for each slice of texts the rows themselves (bucket -1) and its distinct n-grams by bucket."""
+    log = buckets.bit_length() - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for batch in batches:
+                yield from zip(*(c.to_pylist() for c in batch.columns))
+
+        for part, words in _parts(rows()):
+            name = uuid.uuid4().hex
+            out = [(name, -1, pickle.dumps(part))]
+            h = _ngrams(words)
+            cuts = np.searchsorted(h >> _U(64 - log), np.arange(buckets + 1, dtype=np.uint64)) if log else [0, len(h)]
+            out += [(name, k, h[i:j].tobytes()) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.binary()))],
+                names=["slice", "bucket", "held"],
+            )
+
+    return run
+
+
+def _ngrams(words: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate([*words, *(pairs(w) for w in words)]))
+
+
+def _probed(key: tuple, asked: pa.Table, segments: pa.Table) -> pa.Table:
+    """The levels that one segment has for the n-grams of each slice."""
+    bits = np.frombuffer(segments["segment"][0].as_py(), np.uint8) if segments.num_rows else np.zeros(8, np.uint8)
+    made = [probe(np.frombuffer(x.as_py(), np.uint64), bits, _U(0), _U(8 * len(bits))).astype(np.uint16).tobytes() for x in asked["held"]]
+    return pa.table({"slice": asked["slice"], "bucket": asked["bucket"], "held": pa.array(made, pa.binary())})
+
+
 def score(
-    docs: DataFrame, train: Column, text: str = "text", doc_id: str = "doc_id", bits: int = BITS, top: int = TOP, prior: float = PRIOR
+    docs: DataFrame,
+    train: Column,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    top: int = TOP,
+    prior: float = PRIOR,
+    bucket_bytes: int = BUCKET_BYTES,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), (~train).alias("held_out"), F.xxhash64(body).alias("d"), body.alias("text")
     )
-    model, counts = learn(docs, train, text, bits, top, prior)
+    model, counts, segments = learn(docs, train, text, top, prior, bucket_bytes, broadcast_bytes)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
+    kinds = [to_arrow_type(f.dataType) for f in rows.schema.fields[:3]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
-        for batch in batches:
-            for part, words in _parts(zip(*(c.to_pylist() for c in batch.columns))):
-                bounds = np.cumsum([0, *map(len, words)])
-                flat = np.concatenate(words)
-                one, where = np.unique(flat, return_inverse=True)
-                logs = model._logs(words, one, where)
-                count = model.counts(one)
-                usual = (count >= 0)[where]
-                base = np.where(count >= 0, np.log10(np.maximum(count, 0) + 1.0), 0.0)[where]
-                sums = [np.add.reduceat(x, bounds[:-1]) for x in (usual.astype(np.int64), base, logs)]
-                rare = [flat[i:j][~usual[i:j]].view(np.int64) for i, j in zip(bounds[:-1], bounds[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(pa.array([r[k] for r in part], type=batch.schema.field(k).type) for k in range(3)),
-                        pa.array(np.diff(bounds)),
-                        *(pa.array(s) for s in sums),
-                        pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rare)]), pa.int32()), pa.array(np.concatenate(rare))),
-                    ],
-                    names=["doc_id", "held_out", "d", *SCORED.fieldNames()],
-                )
+
+        def each():
+            for batch in batches:
+                yield from zip(*(c.to_pylist() for c in batch.columns))
+
+        for part, words in _parts(each()):
+            one, where = np.unique(np.concatenate(words), return_inverse=True)
+            two, at = np.unique(np.concatenate([pairs(w) for w in words]), return_inverse=True)
+            logs = model.logs(words, where, model.word_levels(one), at, model.levels(two))
+            yield _scored(model, part, words, where, one, logs, kinds)
+
+    def gathered(key: tuple, table: pa.Table) -> pa.Table:
+        model = shipped.value
+        held = dict(zip(table["bucket"].to_pylist(), table["held"].to_pylist()))
+        part = pickle.loads(held.pop(-1))
+        words = [tokens(r[-1]) for r in part]
+        h = _ngrams(words)
+        level = np.concatenate([np.frombuffer(held[k], np.uint16) for k in sorted(held)]).astype(np.int64)
+        one, where = np.unique(np.concatenate(words), return_inverse=True)
+        two, at = np.unique(np.concatenate([pairs(w) for w in words]), return_inverse=True)
+        logs = model.logs(words, where, level[np.searchsorted(h, one)], at, level[np.searchsorted(h, two)])
+        return pa.Table.from_batches([_scored(model, part, words, where, one, logs, kinds)])
 
     schema = T.StructType([*rows.drop("text").schema.fields, *SCORED.fields])
-    scored = written(rows.mapInArrow(run, schema), "scored")
+    if model.bits is not None or not model.total:
+        scored = written(rows.mapInArrow(run, schema), "scored")
+    else:
+        parts = "slice string, bucket int, held binary"
+        asked = written(rows.mapInArrow(_asked(model.buckets), parts), "asked")
+        questions, texts = asked.filter("bucket >= 0"), asked.filter("bucket < 0")
+        answers = questions.groupBy("bucket").cogroup(segments.groupBy("bucket")).applyInArrow(_probed, parts)
+        scored = written(texts.unionByName(answers).groupBy("slice").applyInArrow(gathered, schema), "scored")
     # equal texts ask for their rare words once
     asked = scored.select("d", "rare").groupBy("d").agg(F.first("rare").alias("rare")).select("d", F.explode("rare").alias("h"))
     answered = asked.join(counts, "h").groupBy("d").agg(

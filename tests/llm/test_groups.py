@@ -254,10 +254,12 @@ def lm_tokens(text):
     return WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text)) + [None]
 
 
-@pytest.mark.parametrize("top", [langmodel.TOP, 5])
-def test_base_scores(docs, top):
+@pytest.mark.parametrize("top, broadcast", [(langmodel.TOP, langmodel.BROADCAST_BYTES), (5, langmodel.BROADCAST_BYTES), (50, 0)])
+def test_base_scores(docs, top, broadcast, monkeypatch):
+    """A filter that is broadcast, and one that is probed where its segments are."""
+    monkeypatch.setattr(langmodel, "SLICE_TOKENS", 3000)
     train = crc_fold(F.col("doc_id"), 7) != 2
-    got = langmodel.score(docs, train, bits=1 << 20, top=top).collect()
+    got = langmodel.score(docs, train, top=top, bucket_bytes=1 << 12, broadcast_bytes=broadcast).collect()
     rows = rows_of(docs)
     held = {i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in rows}
     c = Counter(w for i, t in rows if not held[i] for w in lm_tokens(t))
@@ -274,29 +276,63 @@ def test_base_scores(docs, top):
     assert any(held.values())
 
 
+def brute_model(docs, train):
+    """log10 probability of a text by exact counts, quantised as the filter does."""
+    c, two = Counter(), Counter()
+    for w in map(lm_tokens, train):
+        c.update(w)
+        two.update(zip([None, *w[:-1]], w))
+    total, distinct = sum(c.values()), len(c)
+    ones, twos = (sum(n == k for n in c.values()) for k in (1, 2))
+    discount = ones / (ones + 2 * twos)
+    low = lambda n: int(langmodel.LEVELS[langmodel.level_of(np.array([n]))[0] - 1]) if n else 0
+    high = lambda n: int(langmodel.LEVELS[langmodel.level_of(np.array([n]))[0]]) - 1 if n else 0
+
+    def score(text):
+        out, before = 0.0, None
+        for w in lm_tokens(text):
+            p = (low(c[w]) - discount if c[w] else discount * distinct) / total
+            out += math.log10((min(low(two[before, w]), high(c[before])) + langmodel.PRIOR * p) / (high(c[before]) + langmodel.PRIOR))
+            before = w
+        return out
+
+    return [score(t) for t in docs]
+
+
+def test_scores_against_exact_counts(docs):
+    train = crc_fold(F.col("doc_id"), 7) != 2
+    rows = [(r.doc_id, r.text or "", r.held) for r in docs.select("doc_id", "text", (~train).alias("held")).collect()]
+    want = brute_model([t for _, t, _ in rows], [t for _, t, h in rows if not h])
+    once = Counter(i for i, _, _ in rows)
+    want = {i: x for (i, _, _), x in zip(rows, want) if once[i] == 1}
+    for broadcast in (langmodel.BROADCAST_BYTES, 0):
+        got = {r.doc_id: r.score for r in langmodel.score(docs, train, bucket_bytes=1 << 12, broadcast_bytes=broadcast).collect()}
+        off = np.array([got[i] / x - 1 for i, x in want.items()])
+        assert len(off) > 50 and abs(off).max() < 0.02 and abs(off).mean() < 0.003  # false positives of the filter
+
+
 def test_model_levels_and_sums(docs):
-    model, counts = langmodel.learn(docs, F.lit(True), bits=1 << 20)
+    model, counts, _ = langmodel.learn(docs, F.lit(True), bucket_bytes=1 << 12)
     for r in counts.limit(400).collect():
         level = int(model.levels(np.array([r.h], np.int64).view(np.uint64))[0])
         assert level >= int(langmodel.level_of(np.array([r.c]))[0])
-    # the probabilities of all words after one context sum to one at most
+    # the filter is as full as it may be, and holds every n-gram
+    ones = np.unpackbits(model.bits).mean()
+    assert 0.3 < ones < 1 - math.exp(-langmodel.FILL) + 0.02
     words = np.array([r.h for r in counts.collect()], np.int64).view(np.uint64)
-    unseen = np.array([1], np.uint64)
+    texts = [langmodel.tokens(r.text) for r in docs.collect()]
+    assert (model.levels(np.unique(np.concatenate([langmodel.pairs(t) for t in texts]))) > 0).all()
+    # the probabilities of all words after one context sum to one, but for false positives
     total = 0.0
-    for w in [*words, *unseen]:
+    for w in [*words, np.uint64(1)]:
         total += 10 ** float(model.log_probabilities([np.array([w, langmodel._END])])[0])
-    assert 0.5 < total <= 1.02
-
-
-def test_model_filter_is_bounded(docs):
-    model, _ = langmodel.learn(docs, F.lit(True), bits=1 << 13)
-    assert len(model.bits) * 8 == 1 << 13
-    assert np.unpackbits(model.bits).mean() <= langmodel.FILL + 0.05
+    ends = int(counts.filter(F.col("h") == int(np.array([langmodel._END]).view(np.int64)[0])).first().c)
+    assert 0.5 < total <= 1.02 + 0.004 * len(words) / (ends + langmodel.PRIOR)
 
 
 def test_language_model_empty(docs, empty):
-    assert langmodel.score(empty, F.lit(True), bits=1 << 16).collect() == []
-    none = langmodel.score(docs, F.lit(False), bits=1 << 16).collect()
+    assert langmodel.score(empty, F.lit(True)).collect() == []
+    none = langmodel.score(docs, F.lit(False)).collect()
     assert all(r.train_tokens == 0 and r.base_score == 0 and r.score == 0 for r in none)
 
 
@@ -441,6 +477,34 @@ def test_fingerprints(docs, clashing, monkeypatch):
         assert np.mean([r.near for r in long]) > np.mean([r.far for r in long]) + 0.3
 
 
+def shared_phrases(a, b):
+    """2<a, b> / (|a|^2 + |b|^2) of the multisets of phrases."""
+    import regex
+
+    x, y = (Counter(regex.findall(r"[^\s.]+(?: [^\s.]+){0,2}", t)) for t in (a, b))
+    norm = sum(v * v for v in x.values()) + sum(v * v for v in y.values())
+    return 2 * sum(n * y[k] for k, n in x.items()) / norm if norm else float(a == b)
+
+
+def test_likeness_of_phrases(spark):
+    import random
+
+    rng = random.Random(3)
+    pairs = []
+    for k in range(120):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        other = [w if rng.random() < k / 120 else f"x{rng.randrange(10**6)}" for w in words]
+        pairs.append(tuple(" . ".join(" ".join(x[i : i + 3]) for i in range(0, 300, 3)) for x in (words, other)))
+    # one phrase more often than lanes of 14 or 16 bits count
+    pairs += [("same thing.\n" * 20_000, "same thing.\n" * 3_616), ("same thing.\n" * 70_000, "same thing.\n" * 66_000), ("", "a b"), ("", "")]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    near = fingerprint.likeness(fingerprint.words(F.col("a")), fingerprint.words(F.col("b")))
+    got = [r.near for r in df.select("i", near.alias("near")).orderBy("i").collect()]
+    off = np.array(got) - np.array([shared_phrases(*p) for p in pairs])
+    assert abs(off[-4:]).max() < 1e-6
+    assert abs(off[:20]).mean() < 0.08 and abs(off).mean() < 0.06 and abs(off[:-4].mean()) < 0.03
+
+
 def fingerprint_of_blank(got):
     """Whether the blank text ' ' has a fingerprint of its own."""
     by = {r.text: r.fp for r in got}
