@@ -7,7 +7,7 @@ until one is missing; the last found level gives a lower bound of the count. Pro
 smoothed: words by absolute discounting, the discounted mass going to the class of unseen
 words; pairs by a Dirichlet prior on the word's probability. As in every such filter, a pair that
 never occurred is found now and then, so the probabilities of V words after one that occurs c times
-sum to 1 + 0.0017 V / (c + `PRIOR`) in the mean, not to 1.
+sum to 1 + 0.0094 V / (c + `PRIOR`) in the mean, not to 1.
 
 The exact add-one baseline beside it uses exact counts: the most frequent words are broadcast
 (at most `TOP` of them), the counts of all other words reach the texts by a join.
@@ -22,7 +22,7 @@ few million tokens. The number of buckets follows the bytes of text (`BUCKET_BYT
 bucket makes its own segment of the filter, as large as its n-grams need at `FILL`: every n-gram of
 the training texts is in the filter, which grows with the corpus. A filter of up to `BROADCAST_BYTES`
 is broadcast to the workers, which is what usual vocabularies need. A larger one stays in its segments:
-the distinct n-grams of about `SLICE_TOKENS` tokens of text are dealt to the segments' buckets, probed
+the distinct n-grams of about `ASK_TOKENS` tokens of text are dealt to the segments' buckets, probed
 there and the levels sent back to their texts. Both ways give the same scores. Very long texts are
 scored whole, in memory that grows with their tokens.
 """
@@ -40,13 +40,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from celltide.llm.common import written
+from celltide.llm.common import slices, written
 
 #: Bits of an n-gram for its first level, and for each further one.
-FIRST, PROBES = 8, 6
-#: Bits set per bit of a segment: with 45 % of them ones, an n-gram that is not there is found with a
-#: probability of 0.0017, and one that is there at a level too high with 0.0083.
-FILL = 0.6
+FIRST, PROBES = 5, 4
+#: Bits set per bit of a segment: with 39 % of them ones, an n-gram that is not there is found with a
+#: probability of 0.0094, and one that is there at a level too high with 0.024.
+FILL = 0.5
 BUCKET_BYTES = 32 << 20
 BROADCAST_BYTES = 128 << 20
 TOP = 1 << 18
@@ -54,6 +54,8 @@ PRIOR = 300.0
 #: Tokens that a counting task holds before it sends its blocks.
 HOLD = 3_000_000
 SLICE_TOKENS = 400_000
+#: The same where n-grams are sent to the segments: more of them repeat in a larger slice.
+ASK_TOKENS = 1_500_000
 MAX_BUCKETS = 1 << 16
 
 _U = np.uint64
@@ -105,25 +107,33 @@ def pairs(words: np.ndarray) -> np.ndarray:
     return _mix(before * _U(0xD1342543DE82EF95) + words)
 
 
+def _planes(h: np.ndarray) -> bytes:
+    """Sorted hashes as byte planes of differences, which compress."""
+    return np.ascontiguousarray(np.diff(h, prepend=_U(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _hashes(planes: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def _pack(h: np.ndarray, n: np.ndarray) -> bytes:
-    """Sorted hashes and counts as byte planes of differences, which compress."""
-    step = np.diff(h, prepend=_U(0))
-    planes = np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8).T)
+    """Sorted hashes and their counts."""
     counts = np.ascontiguousarray(n.astype(np.uint32).view(np.uint8).reshape(-1, 4).T)
-    return planes.tobytes() + counts.tobytes()
+    return _planes(h) + counts.tobytes()
 
 
 def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(block, np.uint8)
     n = len(raw) // 12
-    h = np.cumsum(np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view(np.uint64).ravel(), dtype=np.uint64)
-    return h, np.ascontiguousarray(raw[8 * n :].reshape(4, n).T).view(np.uint32).ravel().astype(np.int64)
+    return _hashes(raw[: 8 * n]), np.ascontiguousarray(raw[8 * n :].reshape(4, n).T).view(np.uint32).ravel().astype(np.int64)
 
 
 def _summed(h: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct sorted hashes and their total counts."""
     if n is None:
-        return np.unique(h, return_counts=True)
+        h.sort()  # in place: the caller's array is done with
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+        return h[first], np.diff(np.append(first, len(h)))
     order = np.argsort(h)
     h, n = h[order], n[order]
     first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
@@ -139,18 +149,24 @@ def _counted(buckets: int):
         size = 0
 
         def give() -> Iterator[pa.RecordBatch]:
-            for kind in (1, 2):
-                h, n = _summed(np.concatenate(held if kind == 1 else [pairs(w) for w in held]))
+            words = np.concatenate(held)
+            two = np.empty_like(words)
+            two[1:] = words[:-1]
+            two[0] = _END  # every other text begins after the end of the one before it
+            two = _mix(two * _U(0xD1342543DE82EF95) + words)
+            held.clear()
+            for kind, all_ in ((1, words), (2, two)):
+                h, n = _summed(all_)
                 cuts = np.searchsorted(h >> shift, np.arange(buckets + 1, dtype=np.uint64)) if buckets > 1 else [0, len(h)]
-                rows = [(b, _pack(h[i:j], n[i:j])) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([b for b, _ in rows], pa.int32()),
-                        pa.array([kind] * len(rows), pa.int32()),
-                        pa.array([x for _, x in rows], pa.binary()),
-                    ],
-                    names=["bucket", "kind", "block"],
-                )
+                for part in slices([(b, i, j) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i], 8):
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([b for b, _, _ in part], pa.int32()),
+                            pa.array([kind] * len(part), pa.int32()),
+                            pa.array([_pack(h[i:j], n[i:j]) for _, i, j in part], pa.binary()),
+                        ],
+                        names=["bucket", "kind", "block"],
+                    )
 
         for batch in batches:
             for t in batch.column(0):
@@ -159,7 +175,7 @@ def _counted(buckets: int):
                 size += len(w)
                 if size >= HOLD:
                     yield from give()
-                    held, size = [], 0
+                    size = 0
         if held:
             yield from give()
 
@@ -383,14 +399,14 @@ SCORED = T.StructType(
 )
 
 
-def _parts(rows) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Rows (..., text) with their tokens, about `SLICE_TOKENS` at a time: what repeats in a slice is probed once."""
+def _parts(rows, most: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """Rows (..., text) with their tokens, about `most` at a time: what repeats in a slice is probed once."""
     part, words, size = [], [], 0
     for r in rows:
         part.append(r)
         words.append(tokens(r[-1]))
         size += len(words[-1])
-        if size >= SLICE_TOKENS:
+        if size >= most:
             yield part, words
             part, words, size = [], [], 0
     if part:
@@ -426,12 +442,12 @@ def _asked(buckets: int):
             for batch in batches:
                 yield from zip(*(c.to_pylist() for c in batch.columns))
 
-        for part, words in _parts(rows()):
+        for part, words in _parts(rows(), ASK_TOKENS):
             name = uuid.uuid4().hex
             out = [(name, -1, pickle.dumps(part))]
             h = _ngrams(words)
             cuts = np.searchsorted(h >> _U(64 - log), np.arange(buckets + 1, dtype=np.uint64)) if log else [0, len(h)]
-            out += [(name, k, h[i:j].tobytes()) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
+            out += [(name, k, _planes(h[i:j])) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.binary()))],
                 names=["slice", "bucket", "held"],
@@ -447,7 +463,7 @@ def _ngrams(words: list[np.ndarray]) -> np.ndarray:
 def _probed(key: tuple, asked: pa.Table, segments: pa.Table) -> pa.Table:
     """The levels that one segment has for the n-grams of each slice."""
     bits = np.frombuffer(segments["segment"][0].as_py(), np.uint8) if segments.num_rows else np.zeros(8, np.uint8)
-    made = [probe(np.frombuffer(x.as_py(), np.uint64), bits, _U(0), _U(8 * len(bits))).astype(np.uint16).tobytes() for x in asked["held"]]
+    made = [probe(_hashes(np.frombuffer(x.as_py(), np.uint8)), bits, _U(0), _U(8 * len(bits))).astype(np.uint16).tobytes() for x in asked["held"]]
     return pa.table({"slice": asked["slice"], "bucket": asked["bucket"], "held": pa.array(made, pa.binary())})
 
 
@@ -477,7 +493,7 @@ def score(
             for batch in batches:
                 yield from zip(*(c.to_pylist() for c in batch.columns))
 
-        for part, words in _parts(each()):
+        for part, words in _parts(each(), SLICE_TOKENS):
             one, where = np.unique(np.concatenate(words), return_inverse=True)
             two, at = np.unique(np.concatenate([pairs(w) for w in words]), return_inverse=True)
             logs = model.logs(words, where, model.word_levels(one), at, model.levels(two))
@@ -504,6 +520,7 @@ def score(
         questions, texts = asked.filter("bucket >= 0"), asked.filter("bucket < 0")
         answers = questions.groupBy("bucket").cogroup(segments.groupBy("bucket")).applyInArrow(_probed, parts)
         scored = written(texts.unionByName(answers).groupBy("slice").applyInArrow(gathered, schema), "scored")
+    shipped.unpersist()
     # equal texts ask for their rare words once
     asked = scored.select("d", "rare").groupBy("d").agg(F.first("rare").alias("rare")).select("d", F.explode("rare").alias("h"))
     answered = asked.join(counts, "h").groupBy("d").agg(

@@ -4,18 +4,24 @@ Entities are found by pattern, written in a canonical form (so one entity in sev
 spellings stays one entity), and every distinct entity of the corpus receives one keyed
 surrogate of its type. Surrogates keep type, script and format: digits stay digits, letters
 stay letters of their case, card numbers that satisfy the Luhn check still do, addresses keep
-their shape, names keep honorific, gender and script. A surrogate that another entity already
+their shape, names keep honorific, gender and script (Latin, Greek, Cyrillic, Han; letters of any other
+script become Latin ones, never themselves). Later mentions of a found name in the same text, with or
+without honorific, get the same surrogate. A surrogate that another entity already
 has, or that is itself an entity of the corpus, is drawn again with the next attempt number
 until all are distinct; so distinct entities stay distinct and equal ones stay equal in all
 documents, whichever executor handles them.
 
+Surrogates come from HMAC-SHA-512 under a key that the caller gives: without it neither a surrogate
+can be computed for a guessed entity, nor the other way round.
+
 Types: email, card (13 to 19 digits), phone, ssn, ip, aws (access key ids), hex and secret
-(keys and passwords after = or :, long hexadecimal strings), given names (m, f) and surnames
-after an honorific.
+(keys and passwords after = or :, long hexadecimal strings), given names (m, f, x where the honorific
+tells no gender) and surnames after an honorific; a name that never stands after one is not found.
 
 Defined results: null and empty texts stay as they are, with no entities; overlapping
 patterns go to the first in the order above; equal texts get equal results; an empty table
-gives an empty table; all other columns pass through. Entities whose type's space is used up
+gives an empty table; very long texts are searched whole; ties of candidate surrogates go to the smaller
+attempt, then the smaller entity; all other columns pass through. Entities whose type's space is used up
 after `ATTEMPTS` rounds become a distinct bracketed tag.
 
 Scale: texts without an entity are never shuffled, and most are told by two cheap patterns. The
@@ -26,7 +32,9 @@ collision rounds touch the table of distinct entities only, and each is written
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -34,11 +42,11 @@ from pyspark.sql import Window as W
 from celltide.llm.common import fresh, written
 
 ATTEMPTS = 24
-KEY = "celltide"
 
-MALE = "Mr|Sir|Herr|Señor|Monsieur|Signor|г-н|господин"
-FEMALE = "Mrs|Ms|Miss|Madam|Frau|Señora|Señorita|Madame|Mme|Signora|г-жа|госпожа"
-_NAME = r"\p{Lu}[\p{L}'’-]+"
+MALE = "Mr|Κος|Sir|Herr|Señor|Monsieur|Signor|г-н|господин"
+NEUTRAL = "Dr|Prof|Professor|Doctor|Mx|Д-р|Δρ"
+FEMALE = "Mrs|Κα|Ms|Miss|Madam|Frau|Señora|Señorita|Madame|Mme|Signora|г-жа|госпожа"
+_NAME = r"(?:\p{Lu}[\p{L}'’-]+|\p{IsHan}{2,4})"
 
 PATTERNS = {
     "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++@[\p{L}0-9-]++(?:\.[\p{L}0-9-]++)+",
@@ -51,26 +59,37 @@ PATTERNS = {
     "aws": r"(?<![A-Z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Z0-9])",
     "hex": r"(?<![0-9A-Za-z])(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{16,}(?![0-9A-Za-z])",
     "secret": r"(?<=[=:] ?[\"']?)[A-Za-z0-9_+/-]{12,}={0,2}(?![A-Za-z0-9])",
-    "name": rf"(?<![\p{{L}}])(?:{MALE}|{FEMALE})\.? {_NAME}(?: {_NAME})?",
+    "name": rf"(?<![\p{{L}}])(?:{MALE}|{FEMALE}|{NEUTRAL})\.? {_NAME}(?: {_NAME})?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # Every match holds one of these characters or follows one, or begins with one of these words.
 SIGNS = "[0-9@=:]"
-WORDS = f"(?=[MSHFAг])(?:{MALE}|{FEMALE}|AKIA|ASIA)"
+WORDS = f"(?=[MSHFADPгДΔΚ])(?:{MALE}|{FEMALE}|{NEUTRAL}|AKIA|ASIA)"
 
 # Syllables of made-up names, by script.
 _SYLLABLES = {
     "latin": "ba be bo da de do fa fe ga go ha he ja jo ka ke la le lo ma me mi na ne no pa pe ra re ro sa se ta te to va ve wa".split(),
+    "greek": "βα βε γα γε δα δε ζα θα θε κα κε λα λε λο μα με μι να νε νο πα πε ρα ρε σα σε τα τε φα χα".split(),
+    "han": list("伟芳娜敏静丽强磊军洋勇艳杰娟涛明超兰霞平刚桂英华文玉建国海燕"),
     "cyrillic": "ба бе бо ва ве го да де до жа за зо ка ке ла ле ло ма ме ми на не но па пе ра ре ро са се та те то фа ха ша".split(),
 }
 _ENDINGS = {
     ("latin", "m"): ["n", "rt", "s", "ld"],
     ("latin", "f"): ["na", "la", "ra", "ia"],
     ("latin", "s"): ["son", "berg", "ner", "ton", "well", "mann"],
+    ("greek", "m"): ["νος", "ρης", "λος", "κης"],
+    ("greek", "f"): ["να", "ρα", "λη", "νη"],
+    ("greek", "s"): ["πουλος", "ιδης", "ακης", "ου"],
+    ("han", "m"): list("刚强军峰"),
+    ("han", "f"): list("娜芳丽兰"),
+    ("han", "s"): list("氏家林田"),
     ("cyrillic", "m"): ["н", "р", "с", "т"],
     ("cyrillic", "f"): ["на", "ра", "ия", "ла"],
     ("cyrillic", "s"): ["ко", "ич", "дзе", "ян"],
 }
+for _script in _SYLLABLES:
+    _ENDINGS[_script, "x"] = _ENDINGS[_script, "m"] + _ENDINGS[_script, "f"]
+_SCRIPTS = {"cyrillic": "[Ѐ-ӿ]", "greek": "[Ͱ-Ͽἀ-῿]", "han": "\\p{IsHan}"}
 
 
 def _sql_list(values: list[str]) -> str:
@@ -91,7 +110,7 @@ def kind_of(value: Column) -> Column:
 
 
 def parts_of(value: Column) -> Column:
-    """(kind, canonical form) of each part of a match; names have one or two parts."""
+    """(kind, canonical form, word of a name) of each part of a match; names have one or two parts."""
     kind = kind_of(value)
     digits = F.regexp_replace(value, "[^0-9]", "")
     canon = (
@@ -101,17 +120,26 @@ def parts_of(value: Column) -> Column:
         .otherwise(value)
     )
     words = F.slice(F.split(value, " "), 2, 2)
-    given = F.when(value.rlike(f"^(?:{MALE})\\.? "), "given_m").otherwise("given_f")
+    given = F.when(value.rlike(f"^(?:{MALE})\\.? "), "given_m").when(value.rlike(f"^(?:{FEMALE})\\.? "), "given_f").otherwise("given_x")
     named = F.transform(
-        words, lambda w, i: F.struct(F.when((i == 0) & (F.size(words) == 2), given).otherwise("surname").alias("kind"), F.lower(w).alias("canon"))
+        words, lambda w, i: F.struct(F.when((i == 0) & (F.size(words) == 2), given).otherwise("surname").alias("kind"), F.lower(w).alias("canon"), w.alias("word"))
     )
-    one = F.array(F.struct(kind.alias("kind"), canon.alias("canon")))
+    one = F.array(F.struct(kind.alias("kind"), canon.alias("canon"), F.lit(None).cast("string").alias("word")))
     return F.when(kind == "name", named).otherwise(one)
 
 
-def _bytes(seed: str, length: str) -> str:
+def _hmac(key: str, message: str) -> str:
+    """SQL for the hexadecimal HMAC-SHA-512 of a text under a key."""
+    k = key.encode()
+    k = (hashlib.sha512(k).digest() if len(k) > 128 else k).ljust(128, b"\0")
+    inner, outer = (bytes(x ^ pad for x in k).hex() for pad in (0x36, 0x5C))
+    return f"sha2(concat(X'{outer}', unhex(sha2(concat(X'{inner}', cast({message} as binary)), 512))), 512)"
+
+
+def _bytes(key: str, seed: str, length: str) -> str:
     """SQL for hexadecimal digest text of at least `length` bytes."""
-    return f"concat_ws('', transform(sequence(0, cast({length} / 64 as int)), b -> sha2(concat({seed}, '/', cast(b as string)), 512)))"
+    one = _hmac(key, f"concat({seed}, '/', cast(b as string))")
+    return f"concat_ws('', transform(sequence(0, cast({length} / 64 as int)), b -> {one}))"
 
 
 def _byte(stream: str, i: str) -> str:
@@ -119,15 +147,17 @@ def _byte(stream: str, i: str) -> str:
 
 
 def _redrawn(value: str, stream: str, keep: str, letters: str) -> str:
-    """SQL: every digit and ASCII letter of `value` from position `keep` on drawn again, all else kept."""
+    """SQL: every digit and letter of `value` from position `keep` on drawn again, all else kept."""
     r = _byte(stream, "i")
     return f"""concat_ws('', transform(filter(split({value}, ''), c -> c <> ''), (c, i) -> CASE
         WHEN i < {keep} THEN c
         WHEN {_rlike('c', '^[0-9]$')} THEN cast({r} % 10 as string)
         WHEN {_rlike('c', '^[a-z]$')} THEN substr('{letters}', {r} % {len(letters)} + 1, 1)
         WHEN {_rlike('c', '^[A-Z]$')} THEN substr('{letters.upper()}', {r} % {len(letters)} + 1, 1)
-        WHEN {_rlike('c', '^[à-öø-ÿ]$')} THEN substr('{letters}', {r} % {len(letters)} + 1, 1)
-        WHEN {_rlike('c', '^[а-я]$')} THEN substr('абвгдежзиклмнопрстуфхцчшэюя', {r} % 27 + 1, 1)
+        WHEN {_rlike('c', _SCRIPTS['cyrillic'])} THEN substr('абвгдежзиклмнопрстуфхцчшэюя', {r} % 27 + 1, 1)
+        WHEN {_rlike('c', _SCRIPTS['greek'])} THEN substr('αβγδεζηθικλμνξοπρστυφχψω', {r} % 24 + 1, 1)
+        WHEN {_rlike('c', _SCRIPTS['han'])} THEN substr('{"".join(_SYLLABLES["han"])}', {r} % {len(_SYLLABLES["han"])} + 1, 1)
+        WHEN {_rlike('c', chr(92) + 'p{L}')} THEN substr('{letters}', {r} % {len(letters)} + 1, 1)
         ELSE c END))"""
 
 
@@ -142,7 +172,7 @@ def _luhn_sum(digits: str) -> str:
 def _candidate(key: str) -> str:
     """SQL over kind, canon and attempt: the surrogate's canonical form."""
     abc = "abcdefghijklmnopqrstuvwxyz"
-    seed = f"concat('{key}', '|', kind, '|', cast(attempt as string), '|', canon)"
+    seed = "concat(kind, '|', cast(attempt as string), '|', canon)"
     x = "stream"
     card = _redrawn("canon", x, "1", abc)
     fix = f"concat(substr(drawn, 1, length(drawn) - 1), cast((10 - {_luhn_sum('concat(substr(drawn, 1, length(drawn) - 1), \'0\')')} % 10) % 10 as string))"
@@ -153,12 +183,12 @@ def _candidate(key: str) -> str:
 
     def name(part: str) -> str:
         cases = []
-        for script in ("cyrillic", "latin"):
+        for script in (*_SCRIPTS, "latin"):
             syllables, ends = _SYLLABLES[script], _ENDINGS[script, part]
-            s = _sql_list(syllables)
-            drawn = ", ".join(f"{s}[{_byte(x, str(k))} % {len(syllables)}]" for k in range(3))
+            x_ = _sql_list(syllables)
+            drawn = ", ".join(f"{x_}[{_byte(x, str(k))} % {len(syllables)}]" for k in range(3))
             made = f"concat({drawn}, {_sql_list(ends)}[{_byte(x, '3')} % {len(ends)}])"
-            cases.append(f"WHEN {_rlike('canon', '[Ѐ-ӿ]')} THEN {made}" if script == "cyrillic" else f"ELSE {made}")
+            cases.append(f"WHEN {_rlike('canon', _SCRIPTS[script])} THEN {made}" if script in _SCRIPTS else f"ELSE {made}")
         return f"CASE {' '.join(cases)} END"
 
     made = f"""CASE kind
@@ -170,12 +200,13 @@ def _candidate(key: str) -> str:
         WHEN 'hex' THEN {_redrawn('canon', x, '0', 'abcdef')}
         WHEN 'given_m' THEN {name('m')}
         WHEN 'given_f' THEN {name('f')}
+        WHEN 'given_x' THEN {name('x')}
         WHEN 'surname' THEN {name('s')}
         ELSE {_redrawn('canon', x, '0', abc)} END"""
-    return f"transform(array({_bytes(seed, 'length(canon)')}), stream -> {made})[0]"
+    return f"transform(array({_bytes(key, seed, 'length(canon)')}), stream -> {made})[0]"
 
 
-def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
+def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """kind, canon, surrogate of distinct (kind, canon): all distinct within a kind and none an entity itself."""
     real = entities.select("kind", F.col("canon").alias("surrogate")).withColumn("real", F.lit(True))
     table = entities.select("kind", "canon", F.lit(0).alias("attempt"))
@@ -188,7 +219,7 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
         if drawn.filter("clash").isEmpty():
             return drawn.select("kind", "canon", "surrogate")
         table = drawn.select("kind", "canon", (F.col("attempt") + F.col("clash").cast("int")).alias("attempt"))
-    tag = F.concat(F.lit("["), "kind", F.lit("-"), F.substring(F.sha2(F.concat(F.lit(key), "kind", "canon"), 256), 1, 20), F.lit("]"))
+    tag = F.concat(F.lit("["), "kind", F.lit("-"), F.substring(F.expr(_hmac(key, "concat(kind, canon)")), 1, 20), F.lit("]"))
     return drawn.select("kind", "canon", F.when(F.col("clash"), tag).otherwise(F.col("surrogate")).alias("surrogate"))
 
 
@@ -220,8 +251,13 @@ def _named(value: Column, surrogate_words: Column) -> Column:
     return F.concat(head, F.lit(" "), word)
 
 
-def replace(docs: DataFrame, text: str = "text", key: str = KEY) -> tuple[DataFrame, str]:
-    """`docs` with its texts replaced, and a struct column (n_entities, kinds); returns it and the column's name.
+def key_of(spark: SparkSession) -> str:
+    """The key of the registered queries: `spark.celltide.surrogate.key`, which real data need; else one for test tables."""
+    return spark.conf.get("spark.celltide.surrogate.key", None) or "for test tables only"
+
+
+def replace(docs: DataFrame, key: str, text: str = "text") -> tuple[DataFrame, str]:
+    """`docs` with its entities replaced under a secret key, and a struct column (n_entities, kinds); returns it and the column's name.
 
     kinds: the number of entities by type, as an array of (kind, n) sorted by kind.
     """
@@ -240,7 +276,7 @@ def replace(docs: DataFrame, text: str = "text", key: str = KEY) -> tuple[DataFr
         .agg(F.first("matches").alias("matches"))  # equal texts: equal matches
         .select("digest", F.posexplode("matches").alias("at", "value"))
         .select("digest", "at", "value", F.posexplode(parts_of(F.col("value"))).alias("part", "entity"))
-        .select("digest", "at", "value", "part", "entity.kind", "entity.canon")
+        .select("digest", "at", "value", "part", "entity.kind", "entity.canon", "entity.word")
     )
     found = written(found, "entities")
     table = surrogates(found.select("kind", "canon").distinct(), key)
@@ -249,11 +285,11 @@ def replace(docs: DataFrame, text: str = "text", key: str = KEY) -> tuple[DataFr
         F.col("kind").startswith("given") | (F.col("kind") == "surname"), F.col("surrogate")
     ).otherwise(_formatted(F.col("kind"), F.col("value"), F.col("surrogate")))
     steps = (
-        mapped.select("digest", "at", "value", "part", "kind", made.alias("new"))
+        mapped.select("digest", "at", "value", "part", "kind", "word", made.alias("new"))
         .groupBy("digest")
-        .agg(F.array_sort(F.collect_list(F.struct("at", "part", "value", "kind", "new"))).alias("steps"))
+        .agg(F.array_sort(F.collect_list(F.struct("at", "part", "value", "kind", "word", "new"))).alias("steps"))
     )
-    name_kinds = ("given_m", "given_f", "surname")
+    name_kinds = ("given_m", "given_f", "given_x", "surname")
 
     def at_match(i: Column) -> Column:
         own = F.filter(F.col("steps"), lambda s: s["at"] == i)
@@ -277,11 +313,20 @@ def replace(docs: DataFrame, text: str = "text", key: str = KEY) -> tuple[DataFr
         F.array_sort(F.array_distinct(F.transform("steps", lambda s: s["kind"]))),
         lambda k: F.struct(k.alias("kind"), F.size(F.filter("steps", lambda s: s["kind"] == k)).cast("long").alias("n")),
     )
-    ready = steps.select("digest", news.alias("news"), count.cast("long").alias("n_entities"), kinds.alias("kinds"))
+    named = F.array_distinct(
+        F.transform(F.filter("steps", lambda s: s["word"].isNotNull()), lambda s: F.struct(s["word"].alias("word"), F.initcap(s["new"]).alias("new")))
+    )
+    ready = steps.select("digest", news.alias("news"), named.alias("named"), count.cast("long").alias("n_entities"), kinds.alias("kinds"))
     ready = ready.select(*[F.col(c).alias(f"{info}_{c}") for c in ready.columns])
     joined = hit.join(ready, F.col(digest) == F.col(f"{info}_digest"))
     pieces = F.split(F.col(text), ANY, -1)
     woven = F.array_join(F.zip_with(pieces, F.col(f"{info}_news"), lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))), "")
+    # what is left of the names, wherever else they stand in the text
+    woven = F.aggregate(
+        F.col(f"{info}_named"),
+        woven,
+        lambda t, n: F.regexp_replace(t, F.concat(F.lit(r"(?<!\p{L})\Q"), n["word"], F.lit(r"\E(?!\p{L})")), n["new"]),
+    )
     done = joined.select(
         *[woven.alias(c) if c == text else F.col(c) for c in docs.columns],
         F.struct(F.col(f"{info}_n_entities").alias("n_entities"), F.col(f"{info}_kinds").cast(kind).alias("kinds")).alias(info),

@@ -60,7 +60,7 @@ def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, c = pii.replace(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    out, c = pii.replace(load(spark, sf_dir, "documents").select("doc_id", "text"), pii.key_of(spark))
     kinds = F.array_join(F.transform(f"{c}.kinds", lambda k: F.concat(k["kind"], F.lit("="), k["n"])), ",")
     return out.select("doc_id", "text", f"{c}.n_entities", kinds.alias("kinds"))
 
