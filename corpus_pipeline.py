@@ -2,6 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
 read again as the next stage's `docs`. All but the last return the columns of `documents`.
+
+Defined results: null, empty and letterless texts go in the first stage, so the others see none when
+run in order; given alone they keep them (a null text stays null and has no tokens). Rows with a null
+id are kept like others. Of repeated rows and of ties near_duplicates keeps any one. Very long texts
+are handled whole by every stage. An empty table gives an empty table with the same columns. Extra
+columns pass through, whatever their names; `tokens` puts its own n_tokens, ids and decoded_sha256
+in place of columns of these names. Tables that the stages write to the shared folder go with
+`celltide.llm.common.sweep(spark)` once the result is stored.
 """
 
 from __future__ import annotations
@@ -33,7 +41,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets are replaced by surrogates; n_chars follows the new text."""
-    out, _ = pii.replace(docs)
+    out, _ = pii.replace(docs, pii.key_of(spark))
     lengths = {"n_chars": F.char_length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     return out.select(*docs.columns).withColumns(lengths)
 
