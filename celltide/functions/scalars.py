@@ -149,9 +149,9 @@ def line_normal(angle: Column) -> Column:
 
 
 def parabolic_refine(before: Column, at: Column, after: Column) -> Column:
-    """Sub-sample vertex of three samples around a peak, within half a sample; 0 where flat."""
+    """Sub-sample vertex of three samples around a peak, within half a sample; 0 where flat or NaN."""
     curve = before - 2 * at + after
-    return F.when(F.abs(curve) < 1e-12, 0.0).otherwise(F.greatest(F.lit(-0.5), F.least(F.lit(0.5), 0.5 * (before - after) / curve)))
+    return F.when((F.abs(curve) < 1e-12) | F.isnan(curve), 0.0).otherwise(F.greatest(F.lit(-0.5), F.least(F.lit(0.5), 0.5 * (before - after) / curve)))
 
 
 def lut(value: Column, in_min, in_max, out_min, out_max) -> Column:

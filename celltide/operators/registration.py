@@ -21,8 +21,9 @@ class LowConfidenceWarning(UserWarning):
 
 
 def rotate(x: Column, y: Column, degrees: Column) -> tuple[Column, Column]:
+    """Turned by an angle counter-clockwise as seen in an image, whose y axis points down: [[cos, sin], [-sin, cos]]."""
     r = F.radians(degrees)
-    return F.cos(r) * x - F.sin(r) * y, F.sin(r) * x + F.cos(r) * y
+    return F.cos(r) * x + F.sin(r) * y, F.cos(r) * y - F.sin(r) * x
 
 
 def compose(first: Column, second: Column) -> Column:
@@ -48,7 +49,7 @@ def correction_matrix(t: Column, height: float, width: float) -> Column:
     r = F.radians(t["theta"])
     c, s = F.cos(r), F.sin(r)
     px, py = F.lit(cx) + t["dx"], F.lit(cy) + t["dy"]
-    return F.array(c, s, F.lit(cx) - c * px - s * py, -s, c, F.lit(cy) + s * px - c * py)
+    return F.array(c, -s, F.lit(cx) - c * px + s * py, s, c, F.lit(cy) - s * px - c * py)
 
 
 def correct_spec(center_x: Column, center_y: Column, angle: Column, t: Column, height: float, width: float) -> Column:
@@ -65,7 +66,7 @@ def correct_spec(center_x: Column, center_y: Column, angle: Column, t: Column, h
 
 def decompose(a: Column, b: Column, tx: Column, c: Column, d: Column, ty: Column, cx: float, cy: float) -> Column:
     """(dx, dy, theta) of a similarity matrix about a centre; values that aren't finite are an error."""
-    theta = F.degrees(F.atan2(c, a))
+    theta = F.degrees(F.atan2(b - c, a + d))
     x, y = a * cx + b * cy + tx - cx, c * cx + d * cy + ty - cy
     whole = x + y + theta
     ok = whole.isNotNull() & ~F.isnan(whole) & (F.abs(whole) != float("inf"))
@@ -138,14 +139,18 @@ def chain(transforms: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def match_lines(lines: DataFrame, reference: DataFrame, max_angle: float = 5.0, by: Sequence[str] = ("frame",)) -> DataFrame:
-    """Each line (by, line, angle, rho) with its nearest reference line (ref, ref_angle, ref_rho) within an angle.
+    """Each line (by, line, angle, rho) meets the lines of its angle's bucket and the two beside it, with its nearest reference line (ref, ref_angle, ref_rho) within an angle.
 
     Unmatched where the second best is no farther than 2.05 times the best (1 at least); a
     reference line that several lines match keeps the closest.
     """
     from celltide.functions import scalars as S
 
-    met = lines.join(reference, F.abs(S.angle_diff(F.col("angle"), F.col("ref_angle"))) <= max_angle)
+    n = max(1, int(180 // max_angle))  # buckets of the half circle, at least max_angle wide
+    bucket = lambda a: F.floor(F.pmod(a, F.lit(180.0)) * n / 180).cast("int")
+    beside = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.pmod(bucket(F.col("angle")) + k, F.lit(n))))
+    met = lines.withColumn("_b", F.explode(beside)).join(reference.withColumn("_b", bucket(F.col("ref_angle"))), "_b").drop("_b")
+    met = met.filter(F.abs(S.angle_diff(F.col("angle"), F.col("ref_angle"))) <= max_angle)
     met = met.withColumn("distance", F.abs(F.col("rho") - F.col("ref_rho")))
     rank = W.partitionBy(*by, "line").orderBy("distance", "ref")
     met = met.withColumn("_k", F.row_number().over(rank)).withColumn("_second", F.lead("distance").over(rank))
@@ -155,16 +160,30 @@ def match_lines(lines: DataFrame, reference: DataFrame, max_angle: float = 5.0,
 
 
 def dedupe_lines(lines: DataFrame, max_angle: float = 5.0, max_rho: float = 6.0, by: Sequence[str] = ("frame",)) -> DataFrame:
-    """Drops a line if a longer one (ties: lower number) lies within the angle and the offset."""
+    """Keeps a line unless a longer kept one (ties: lower number) lies within the angle and the offset.
+
+    Rounds over pairs that are close: a line without a longer neighbour left is kept, its shorter
+    neighbours go; each round settles at least the longest undecided line of every frame.
+    """
     from celltide.functions import scalars as S
+    from celltide.operators.tracking import _cut
 
     keys = list(by)
     row = F.struct(*[c for c in lines.columns if c not in keys])
     pairs = lines.select(*keys, row.alias("a")).join(lines.select(*keys, row.alias("b")), keys)
     longer = (F.col("b.length") > F.col("a.length")) | ((F.col("b.length") == F.col("a.length")) & (F.col("b.line") < F.col("a.line")))
     close = (F.abs(S.angle_diff(F.col("a.angle"), F.col("b.angle"))) < max_angle) & (F.abs(F.col("a.rho") - F.col("b.rho")) < max_rho)
-    gone = pairs.filter(longer & close).select(*keys, F.col("a.line").alias("line")).distinct()
-    return lines.join(gone, [*keys, "line"], "left_anti")
+    over = _cut(pairs.filter(longer & close).select(*keys, F.col("a.line").alias("line"), F.col("b.line").alias("above")))
+    gone = None
+    while not over.isEmpty():
+        waiting = over.select(*keys, "line").distinct()
+        # neighbours of lines that nothing longer can remove any more
+        first = over.join(waiting.withColumnRenamed("line", "above"), [*keys, "above"], "left_anti")
+        out = _cut(first.select(*keys, "line").distinct())
+        gone = out if gone is None else gone.unionByName(out)
+        over = over.join(out, [*keys, "line"], "left_anti").join(out.withColumnRenamed("line", "above"), [*keys, "above"], "left_anti")
+        over = _cut(over.select(*keys, "line", "above"))
+    return lines if gone is None else lines.join(gone, [*keys, "line"], "left_anti")
 
 
 # ---------------------------------------------------------------- estimation
@@ -299,7 +318,7 @@ def compose_values(first: tuple, second: tuple) -> tuple:
     """`first`, then `second`, as plain (dx, dy, theta, confidence)."""
     r = np.radians(second[2])
     weak = None if first[3] is None or second[3] is None else min(first[3], second[3])
-    x, y = np.cos(r) * first[0] - np.sin(r) * first[1], np.sin(r) * first[0] + np.cos(r) * first[1]
+    x, y = np.cos(r) * first[0] + np.sin(r) * first[1], np.cos(r) * first[1] - np.sin(r) * first[0]
     return float(second[0] + x), float(second[1] + y), float(first[2] + second[2]), weak
 
 

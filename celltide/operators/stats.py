@@ -82,11 +82,11 @@ def critical_t(level: float):
 
 # ---------------------------------------------------------------- growth
 
-AGGREGATES = {"sum": F.sum, "mean": F.avg, "count": F.count}
+AGGREGATES = {"sum": F.sum, "mean": F.avg, "count": lambda _: F.count("*")}
 
 
 def aggregate(df: DataFrame, time: str = "time", value: str = "area", agg: str = "sum", by: Sequence[str] = ()) -> DataFrame:
-    """by, t, y: one value per time; rows without a time and values that are NaN take no part."""
+    """by, t, y: one value per time; rows without a time take no part, and values that are NaN only in a count, which counts rows."""
     if agg not in AGGREGATES:
         raise ValueError(f"unknown aggregate {agg!r}")
     t, v = F.col(time).cast("double"), F.col(value).cast("double")

@@ -112,7 +112,7 @@ def q_growth_mean(spark, sf):
     return _fit(_events(spark, sf), "mean", "event_type")
 
 
-@query(_FIT.format(by="event_type", points=_EVENT_POINTS.format(agg="count(value)::DOUBLE")))
+@query(_FIT.format(by="event_type", points=_EVENT_POINTS.format(agg="count(*)::DOUBLE")))
 def q_growth_count(spark, sf):
     return _fit(_events(spark, sf), "count", "event_type")
 
@@ -675,16 +675,11 @@ def q_inconsistent_divisions(spark, sf):
     return tracking.inconsistent_divisions(nodes, edges, 3).select("parent", "dead_end")
 
 
-@query(
-    """SELECT label, ((label + 1 - n) * (64 / n) + (64 / n - 1) / 2)::DOUBLE AS y FROM
-    (SELECT c_custkey AS label, pow(2, floor(log2(c_custkey + 1))) AS n FROM customer WHERE c_custkey < 127)"""
-)
+@query()
 def q_lineage_layout(spark, sf):
-    """Leaves in depth-first order, inner nodes at the mean of their children; on a full tree the order is that of the labels."""
+    """Leaves in depth-first order, inner nodes at the mean of their children, of the whole tree (a recursion, without SQL)."""
     nodes, edges = _tree(spark, sf)
-    small = nodes.filter("label < 127")
-    e = edges.filter("child < 127").toDF("src", "dst")
-    return tracking.lineage_y(small, e)
+    return tracking.lineage_y(nodes, edges.toDF("src", "dst"))
 
 
 # ---------------------------------------------------------------- scalars
@@ -835,7 +830,7 @@ def _transforms(spark, sf):
 
 
 @query(
-    f"""SELECT a.id, round(b.dx + cos(radians(b.th)) * a.dx - sin(radians(b.th)) * a.dy, 6) AS dx, round(b.dy + sin(radians(b.th)) * a.dx + cos(radians(b.th)) * a.dy, 6) AS dy,
+    f"""SELECT a.id, round(b.dx + cos(radians(b.th)) * a.dx + sin(radians(b.th)) * a.dy, 6) AS dx, round(b.dy - sin(radians(b.th)) * a.dx + cos(radians(b.th)) * a.dy, 6) AS dy,
     a.th + b.th AS theta, CASE WHEN a.cf IS NOT NULL AND b.cf IS NOT NULL THEN round(least(a.cf, b.cf), 6) END AS confidence FROM {_T} a JOIN {_T} b ON b.id = a.id + 1"""
 )
 def q_compose(spark, sf):
@@ -847,7 +842,7 @@ def q_compose(spark, sf):
 
 
 @query(
-    f"""SELECT id, round(320 + cos(r) * (100 - 320 - dx) + sin(r) * (50 - 240 - dy), 6) AS center_x, round(240 - sin(r) * (100 - 320 - dx) + cos(r) * (50 - 240 - dy), 6) AS center_y,
+    f"""SELECT id, round(320 + cos(r) * (100 - 320 - dx) - sin(r) * (50 - 240 - dy), 6) AS center_x, round(240 + sin(r) * (100 - 320 - dx) + cos(r) * (50 - 240 - dy), 6) AS center_y,
     round(10 + th, 6) AS angle FROM (SELECT *, radians(th) AS r FROM {_T})"""
 )
 def q_correct_spec(spark, sf):
@@ -858,14 +853,16 @@ def q_correct_spec(spark, sf):
 
 
 @query(
-    """WITH s AS (SELECT DISTINCT floor(event_id / 7)::BIGINT * 7 AS f FROM events WHERE event_id % 49 < 7)
-    SELECT event_id AS frame, (SELECT f FROM s ORDER BY abs(f - event_id), f LIMIT 1) AS source_frame FROM events WHERE event_id < 2000"""
+    """WITH s AS (SELECT DISTINCT floor(event_id / 7)::BIGINT * 7 AS f FROM events WHERE value > 100),
+    b AS (SELECT event_id, s.f AS lo FROM events ASOF LEFT JOIN s ON event_id >= s.f),
+    a AS (SELECT event_id, s.f AS hi FROM events ASOF LEFT JOIN s ON event_id <= s.f)
+    SELECT event_id AS frame, CASE WHEN lo IS NULL OR hi - event_id < event_id - lo THEN hi ELSE lo END AS source_frame FROM b JOIN a USING (event_id)"""
 )
 def q_nearest_transform(spark, sf):
     """Nearest stored frame, ties to the lower one."""
     e = table(spark, sf, "events").select("event_id")
-    stored = e.filter("event_id % 49 < 7").select((F.floor(F.col("event_id") / 7) * 7).alias("frame")).distinct().withColumn("transform", F.lit(0.0))
-    frames = e.filter("event_id < 2000").select(F.col("event_id").alias("frame"))
+    stored = table(spark, sf, "events").filter("value > 100").select((F.floor(F.col("event_id") / 7) * 7).alias("frame")).distinct().withColumn("transform", F.lit(0.0))
+    frames = e.select(F.col("event_id").alias("frame"))
     return registration.nearest_transform(frames, stored).select("frame", "source_frame")
 
 
@@ -893,12 +890,12 @@ def q_producers(spark, sf):
 
 
 @query(
-    """SELECT o_orderpriority AS upstream, 'file_' || o_orderkey AS artifact, l_returnflag || l_linestatus AS downstream FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-    WHERE l_linenumber = 1 AND o_orderpriority <> l_returnflag || l_linestatus"""
+    """SELECT DISTINCT o_orderpriority AS upstream, 'file_' || o_orderkey AS artifact, l_returnflag || l_linestatus AS downstream FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+    WHERE o_orderpriority <> l_returnflag || l_linestatus"""
 )
 def q_stage_edges(spark, sf):
     """Which stage read what another produced."""
-    lines = table(spark, sf, "lineitem").filter("l_linenumber = 1")
+    lines = table(spark, sf, "lineitem")
     io = lines.join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.lit("p").alias("population_id"),
         F.concat("l_returnflag", "l_linestatus").alias("stage"),
@@ -906,7 +903,7 @@ def q_stage_edges(spark, sf):
         F.concat(F.lit("file_"), "o_orderkey").alias("path"),
         F.col("o_orderpriority").alias("produced_by"),
     )
-    return provenance.stage_edges(io).select("upstream", "artifact", "downstream")
+    return provenance.stage_edges(io).select("upstream", "artifact", "downstream").distinct()
 
 
 @query(
@@ -926,10 +923,10 @@ def q_stale(spark, sf):
 # ---------------------------------------------------------------- sets and frames
 
 
-@query("SELECT date_diff('day', DATE '2024-01-01', ts::DATE)::INT AS frame, count(*)::BIGINT AS n FROM events WHERE value > 480 GROUP BY 1 UNION ALL SELECT unnest([100, 101]), 0")
+@query("SELECT date_diff('day', DATE '2024-01-01', ts::DATE)::INT AS frame, count(*)::BIGINT AS n FROM events GROUP BY 1 UNION ALL SELECT unnest([100, 101]), 0")
 def q_per_frame(spark, sf):
     """Detections per declared frame, empty frames included."""
-    e = table(spark, sf, "events").filter("value > 480").select(F.col("event_id").alias("id"), _day("ts").cast("int").alias("frame"))
+    e = table(spark, sf, "events").select(F.col("event_id").alias("id"), _day("ts").cast("int").alias("frame"))
     declared = e.select("frame").distinct().union(spark.createDataFrame([(100,), (101,)], "frame int"))
     return model.per_frame(e, declared).select("frame", F.size("ids").cast("bigint").alias("n"))
 
@@ -997,23 +994,21 @@ def _turn(a: str, b: str) -> str:
     return f"abs(({a} - {b} + 90) - floor(({a} - {b} + 90) / 180) * 180 - 90)"
 
 
-@query(
-    f"""SELECT frame, line FROM {_LINES} a WHERE NOT EXISTS (SELECT 1 FROM {_LINES} b WHERE a.frame = b.frame AND (b.length > a.length OR (b.length = a.length AND b.line < a.line))
-    AND {_turn('a.angle', 'b.angle')} < 5 AND abs(a.rho - b.rho) < 60)"""
-)
+@query()
 def q_dedupe_lines(spark, sf):
+    """A greedy scan by length, without SQL."""
     return registration.dedupe_lines(_lines(spark, sf), 5.0, 60.0).select("frame", "line")
 
 
 @query(
-    f"""WITH r AS (SELECT p_partkey AS ref, p_size * 3.0 - 90 AS ref_angle, p_partkey * 1.0 AS ref_rho FROM part WHERE p_partkey % 20 = 0),
+    f"""WITH r AS (SELECT p_partkey AS ref, p_size * 3.0 - 90 AS ref_angle, p_partkey * 1.0 AS ref_rho FROM part),
     m AS (SELECT frame, line, ref, abs(rho - ref_rho) AS distance FROM {_LINES}, r WHERE {_turn('angle', 'ref_angle')} <= 5),
     k AS (SELECT *, row_number() OVER w AS i, lead(distance) OVER w AS second FROM m WINDOW w AS (PARTITION BY frame, line ORDER BY distance, ref)),
     b AS (SELECT *, row_number() OVER (PARTITION BY frame, ref ORDER BY distance, line) AS j FROM k WHERE i = 1 AND (second IS NULL OR second > 2.05 * greatest(distance, 1)))
     SELECT frame, line, ref, distance FROM b WHERE j = 1"""
 )
 def q_match_lines(spark, sf):
-    ref = table(spark, sf, "part").filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("ref"), (F.col("p_size") * 3.0 - 90).alias("ref_angle"), (F.col("p_partkey") * 1.0).alias("ref_rho"))
+    ref = table(spark, sf, "part").select(F.col("p_partkey").alias("ref"), (F.col("p_size") * 3.0 - 90).alias("ref_angle"), (F.col("p_partkey") * 1.0).alias("ref_rho"))
     return registration.match_lines(_lines(spark, sf), ref)
 
 

@@ -452,6 +452,7 @@ def test_scalars(spark):
     assert text == "1.5,2.0" and one(spark, S.polygon_from_text(lit("1.5,2.0 3,4")))[1].y == 4
     assert one(spark, S.angle_diff(lit(-85.0), lit(85.0))) == 10 and one(spark, S.wrap_angle(lit(170.0))) == -10
     assert one(spark, S.parabolic_refine(lit(0.0), lit(2.0), lit(1.0))) == pytest.approx(1 / 6)
+    assert one(spark, S.parabolic_refine(lit(float("nan")), lit(2.0), lit(1.0))) == 0
     assert one(spark, S.utc_text(lit(1710326747.8))) == "2024-03-13T10:45:47+00:00"
     assert one(spark, S.channel_color(lit("Red"))) == [255, 0, 0] and one(spark, S.channel_color(lit("#0a0B0c"))) == [10, 11, 12]
     assert one(spark, S.execution_name(lit(5), "int")) == "execution_5"
@@ -481,8 +482,17 @@ def t(dx, dy, theta, c=None):
 
 def test_compose_and_invert(spark):
     r = one(spark, registration.compose(t(1.0, 0.0, 30.0, 0.5), t(2.0, 3.0, 90.0, 0.9)))
-    assert (r.dx, r.dy, r.theta, r.confidence) == (pytest.approx(2), pytest.approx(4), 120, 0.5)
+    assert (r.dx, r.dy, r.theta, r.confidence) == (pytest.approx(2), pytest.approx(2), 120, 0.5)
     assert one(spark, registration.compose(t(1.0, 0.0, 0.0), t(0.0, 0.0, 0.0, 1.0))).confidence is None
+    # counter-clockwise where y points down: by hand from [[cos, sin], [-sin, cos]]
+    r = one(spark, registration.compose(t(3.0, 0.0, 0.0), t(0.0, 0.0, 90.0)))
+    assert (r.dx, r.dy) == (pytest.approx(0), pytest.approx(-3))
+    assert registration.compose_values((3.0, 0.0, 0.0, None), (0.0, 0.0, 90.0, None))[:2] == (pytest.approx(0), pytest.approx(-3))
+    s = one(spark, registration.correct_spec(F.lit(110.0), F.lit(100.0), F.lit(0.0), t(0.0, 0.0, 90.0), 200.0, 200.0))
+    assert (s.center_x, s.center_y, s.angle) == (pytest.approx(100), pytest.approx(110), 90)
+    c, w = math.cos(math.radians(30)), math.sin(math.radians(30))
+    s = one(spark, registration.decompose(*(F.lit(x) for x in (c, w, 0.0, -w, c, 0.0)), 0.0, 0.0))
+    assert s.theta == pytest.approx(30)
     back = one(spark, registration.compose(t(1.0, 2.0, 30.0), registration.invert(t(1.0, 2.0, 30.0))))
     assert (back.dx, back.dy, back.theta) == (pytest.approx(0), pytest.approx(0), 0)
     s = one(spark, registration.correct_spec(F.lit(10.0), F.lit(20.0), F.lit(5.0), t(3.0, -4.0, 0.0), 100.0, 100.0))
@@ -491,6 +501,52 @@ def test_compose_and_invert(spark):
     assert (same.center_x, same.center_y, same.angle) == (1, 2, 3)
 
 
+def greedy(lines, angle, rho):
+    """(line, angle, rho, length) kept, the longest first, each compared with kept ones only."""
+    kept = []
+    for x in sorted(lines, key=lambda x: (-x[3], x[0])):
+        if not any(abs((x[1] - k[1] + 90) % 180 - 90) < angle and abs(x[2] - k[2]) < rho for k in kept):
+            kept.append(x)
+    return {x[0] for x in kept}
+
+
+def test_dedupe_lines(spark):
+    import random
+
+    rng = random.Random(2)
+    frames = {0: [(0, 0.0, 0.0, 30.0), (1, 0.0, 5.0, 20.0), (2, 0.0, 10.0, 10.0)]}
+    frames |= {f: [(i, rng.uniform(-90, 90), rng.uniform(0, 40), float(rng.randrange(9))) for i in range(40)] for f in range(1, 6)}
+    rows = [(f, *x) for f, lines in frames.items() for x in lines]
+    df = spark.createDataFrame(rows, "frame int, line int, angle double, rho double, length double")
+    got = {(r.frame, r.line) for r in registration.dedupe_lines(df, 20.0, 6.0).collect()}
+    assert got == {(f, i) for f, lines in frames.items() for i in greedy(lines, 20.0, 6.0)} and {(0, 0), (0, 2)} <= got
+    # nearest of all reference lines, across the ends of the half circle too
+    ref = spark.createDataFrame([(0, -89.0, 3.0), (1, 20.0, 7.0)], "ref int, ref_angle double, ref_rho double")
+    one_line = spark.createDataFrame([(0, 5, 89.5, 3.5), (0, 6, 30.0, 7.0)], "frame int, line int, angle double, rho double")
+    assert [(r.line, r.ref) for r in registration.match_lines(one_line, ref).collect()] == [(5, 0)]
+
+
+def test_lineage_layout_of_an_incomplete_tree(spark):
+    """Against a walk of the tree, leaves numbered in depth-first order."""
+    n = 40
+    kids = {p: [c for c in (2 * p + 1, 2 * p + 2) if c < n] for p in range(n)}
+    want, count = {}, 0
+
+    def walk(p):
+        nonlocal count
+        if kids[p]:
+            want[p] = sum(walk(c) for c in kids[p]) / len(kids[p])
+        else:
+            want[p], count = float(count), count + 1
+        return want[p]
+
+    walk(0)
+    nodes = spark.createDataFrame([(p, (p + 1).bit_length()) for p in range(n)], "label bigint, start_frame int")
+    edges = spark.createDataFrame([(p, c) for p in kids for c in kids[p]], "src bigint, dst bigint")
+    got = {r.label: r.y for r in tracking.lineage_y(nodes, edges).collect()}
+    assert got == {k: pytest.approx(v) for k, v in want.items()}
+
+
 def test_nearest_and_missing(spark):
     stored = spark.createDataFrame([(2, 2.0), (6, 6.0)], "frame int, transform double")
     frames = spark.range(9).select(F.col("id").cast("int").alias("frame"))
@@ -506,7 +562,7 @@ def test_chain(spark):
     rows = [(1, (1.0, 0.0, 90.0, 0.9)), (2, (1.0, 0.0, 90.0, 0.5)), (3, (1.0, 0.0, 0.0, None))]
     df = spark.createDataFrame(rows, "frame int, transform struct<dx:double,dy:double,theta:double,confidence:double>")
     got = {r.frame: r.transform for r in registration.chain(df).collect()}
-    assert (got[2].dx, got[2].dy, got[2].theta, got[2].confidence) == (pytest.approx(1), pytest.approx(1), 180, 0.5)
+    assert (got[2].dx, got[2].dy, got[2].theta, got[2].confidence) == (pytest.approx(1), pytest.approx(-1), 180, 0.5)
     assert got[3].confidence is None
 
 
