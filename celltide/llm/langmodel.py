@@ -17,8 +17,8 @@ with nothing to learn from every token is the unseen class, with probability 1;
 each keep their row; an empty table gives no rows; extra columns are ignored. Words are told
 apart by 64-bit hashes.
 
-Scale: tasks send one packed block of sorted distinct n-grams and counts per hash bucket and a
-few million tokens. The number of buckets follows the bytes of text (`BUCKET_BYTES` each), and each
+Scale: tasks send one packed block of sorted distinct n-grams and counts per hash bucket and
+million tokens. The number of buckets follows the bytes of text (`BUCKET_BYTES` each), and each
 bucket makes its own segment of the filter, as large as its n-grams need at `FILL`: every n-gram of
 the training texts is in the filter, which grows with the corpus. A filter of up to `BROADCAST_BYTES`
 is broadcast to the workers, which is what usual vocabularies need. A larger one stays in its segments:
@@ -47,12 +47,12 @@ FIRST, PROBES = 5, 4
 #: Bits set per bit of a segment: with 39 % of them ones, an n-gram that is not there is found with a
 #: probability of 0.0094, and one that is there at a level too high with 0.024.
 FILL = 0.5
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 8 << 20
 BROADCAST_BYTES = 128 << 20
 TOP = 1 << 18
 PRIOR = 300.0
 #: Tokens that a counting task holds before it sends its blocks.
-HOLD = 3_000_000
+HOLD = 1_000_000
 SLICE_TOKENS = 400_000
 #: The same where n-grams are sent to the segments: more of them repeat in a larger slice.
 ASK_TOKENS = 1_500_000
