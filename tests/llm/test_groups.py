@@ -230,6 +230,25 @@ def test_alignment():
             assert neardup.edits_within(np.array(a, np.uint64), np.array(b, np.uint64), most) == (d <= most)
 
 
+def test_signatures_never_part_similar_texts():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        a = rng.integers(0, 1 << 32, int(rng.integers(1, 120)), dtype=np.uint64).astype(np.uint32)
+        b, edits = list(a), int(rng.integers(0, 30))
+        for _ in range(edits):
+            at, word = int(rng.integers(0, len(b) + 1)), np.uint32(rng.integers(0, 1 << 32))
+            kind = int(rng.integers(0, 3))
+            if kind == 0 or at == len(b):
+                b.insert(at, word)
+            elif kind == 1:
+                b[at] = word
+            else:
+                del b[at]
+        x, y = (neardup.signature(np.array(w, np.uint32)) for w in (a, b))
+        assert sum(bin(int(i) & (1 << 64) - 1).count("1") for i in x ^ y) <= 2 * edits
+    assert len(neardup.signature(np.zeros(0, np.uint32))) == neardup.SIGNS // 64
+
+
 def test_sketches_keep_order():
     a = np.arange(1, 400, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     same = (neardup.sketch(a) == neardup.sketch(np.concatenate([a[200:], a[:200]]))).mean()
