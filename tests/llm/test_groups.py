@@ -174,6 +174,24 @@ def test_near_duplicates_of_few_words(spark):
     assert {(r.doc_id, r.class_id, r.class_size) for r in got} == {(i, *c) for (i, _), c in brute_classes(rows).items()}
 
 
+@pytest.mark.parametrize("common", [0, 3, neardup.COMMON])
+def test_common_grams_may_be_left_out(spark, common, monkeypatch):
+    """Of similar texts a pair is found, or both are told to be unsure, however many n-grams are left out early."""
+    monkeypatch.setattr(neardup, "COMMON", common)
+    rng = np.random.default_rng(8)
+    shared = rng.integers(1, 1 << 32, 40)
+    words = [np.concatenate([shared, rng.integers(1, 1 << 32, n)]) for n in (2, 5, 20, 60, 90) * 6]
+    words += [np.concatenate([w[:-1], rng.integers(1, 1 << 32, 1)]) for w in words[::4]]
+    words = [w.astype(np.uint32) for w in words]
+    texts = spark.createDataFrame([(i, bytearray(w.tobytes())) for i, w in enumerate(words)], "d bigint, words binary")
+    labels = spark.createDataFrame([(i, i) for i in range(len(words))], "d bigint, label bigint")
+    pairs, unsure = neardup._crowded(texts, labels, 0.8, 3, 4)
+    found, unsure = {(r.a, r.b) for r in pairs.collect()}, {r.d for r in unsure.collect()}
+    want = {(i, j) for j in range(len(words)) for i in range(j) if neardup.similar(words[i], words[j])}
+    assert want and all(p in found or unsure.issuperset(p) for p in want)
+    assert len(unsure) < len(words)
+
+
 def test_crowded_texts_lose_no_pair_of_a_rare_gram(spark, monkeypatch):
     """More texts than `RARE` around one passage: all links that share a rarer 3-gram or word are found."""
     monkeypatch.setattr(neardup, "RARE", 20)
