@@ -74,21 +74,48 @@ def decompose(a: Column, b: Column, tx: Column, c: Column, d: Column, ty: Column
     return F.struct(F.when(ok, x).otherwise(fail).alias("dx"), y.alias("dy"), theta.alias("theta"))
 
 
+PARTS = 64  # ranges of frames that are looked up apart
+
+
+def _range(x: Column, cuts: Sequence[float]) -> Column:
+    """How many of the ascending `cuts` are at most x, by halving."""
+
+    def among(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(x < F.lit(cuts[mid]), among(lo, mid)).otherwise(among(mid + 1, hi))
+
+    return among(0, len(cuts))
+
+
 def nearest_transform(frames: DataFrame, transforms: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Each frame with the transform of the nearest stored frame, ties to the lower one.
+    """Each frame with the transform of the nearest stored frame, ties to the lower one; none for a NULL frame.
 
-    A linear as-of join: the last stored frame at or before and the first one after, by window.
+    A linear as-of join: the last stored frame at or before and the first one after, by windows that
+    only grow. Frames are dealt by ranges, each of which also holds the nearest stored frames outside it.
     """
-    side = transforms.select(*by, F.col("frame"), F.struct(F.col("frame").alias("at"), F.col("transform").alias("transform")).alias("_s"))
-    both = frames.select(*by, "frame", F.lit(None).cast(side.schema["_s"].dataType).alias("_s"), F.lit(1).alias("_q")).unionByName(
-        side.withColumn("_q", F.lit(0))
-    )
-    order = W.partitionBy(*by).orderBy("frame", "_q")
-    before = F.last("_s", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
-    after = F.first("_s", ignorenulls=True).over(order.rowsBetween(0, W.unboundedFollowing))
-    found = both.withColumn("_b", before).withColumn("_a", after).filter("_q = 1")
+    side = transforms.filter(F.col("frame").isNotNull())
+    side = side.select(*by, F.col("frame"), F.struct(F.col("frame").alias("at"), F.col("transform").alias("transform")).alias("_s"))
+    asked = frames.select(*by, "frame", F.lit(None).cast(side.schema["_s"].dataType).alias("_s"), F.lit(1).alias("_q"))
+    both = asked.unionByName(side.withColumn("_q", F.lit(0)))
+    cuts = sorted(set(both.approxQuantile("frame", [k / PARTS for k in range(1, PARTS)], 0.002)))
+    both = both.withColumn("_part", _range(F.col("frame"), cuts))
+    ends = both.filter("_q = 0").groupBy(*by, "_part").agg(F.min_by("_s", "frame").alias("lo"), F.max_by("_s", "frame").alias("hi"))
+    kind = ends.schema["lo"].dataType
+    every = ends.groupBy(*by).agg(F.count("*")).select(*by, F.explode(F.sequence(F.lit(0), F.lit(len(cuts)))).alias("_part"))
+    every = every.select("*", F.lit(None).cast(kind).alias("lo"), F.lit(None).cast(kind).alias("hi"))
+    spans = ends.unionByName(every).groupBy(*by, "_part").agg(F.first("lo", True).alias("lo"), F.first("hi", True).alias("hi"))
+    grown = W.partitionBy(*by).rowsBetween(W.unboundedPreceding, -1)
+    beyond = F.array(F.last("hi", True).over(grown.orderBy("_part")), F.last("lo", True).over(grown.orderBy(F.desc("_part"))))
+    carried = spans.select(*by, "_part", beyond.alias("_c")).select(*by, "_part", F.explode("_c").alias("_s")).filter("_s is not null")
+    carried = carried.select(*by, F.col("_s.at").alias("frame"), "_s", F.lit(0).alias("_q"), "_part")
+    one = W.partitionBy(*by, "_part").rowsBetween(W.unboundedPreceding, 0)
+    before = F.last("_s", True).over(one.orderBy("frame", "_q"))
+    after = F.last("_s", True).over(one.orderBy(F.desc("frame"), "_q"))
+    found = both.unionByName(carried).withColumn("_b", before).withColumn("_a", after).filter("_q = 1")
     nearer = (F.col("_b").isNull()) | (F.col("_a.at") - F.col("frame") < F.col("frame") - F.col("_b.at"))
-    pick = F.when(F.col("_a").isNull(), F.col("_b")).when(nearer, F.col("_a")).otherwise(F.col("_b"))
+    pick = F.when(F.col("frame").isNull(), None).when(F.col("_a").isNull(), F.col("_b")).when(nearer, F.col("_a")).otherwise(F.col("_b"))
     return found.select(*by, "frame", pick["at"].alias("source_frame"), pick["transform"].alias("transform"))
 
 

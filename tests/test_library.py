@@ -558,6 +558,28 @@ def test_nearest_and_missing(spark):
     assert registration.sample_frames(10, 0, 4) == [3, 6, 9] and registration.sample_frames(1, 0, 4) == [0]
 
 
+def test_nearest_of_many_ranges(spark):
+    """Against brute force: ranges without a stored frame, groups without one, repeated and NULL frames."""
+    rng = random.Random(3)
+    frames = [(g, rng.randrange(3000)) for g in (0, 1, None) for _ in range(900)] + [(0, None), (2, 5)]
+    stored = [(g, at) for g in (0, 1, None) for at in rng.sample([*range(200, 230), *range(2500, 2900, 7)], 40)] + [(0, None)]
+    df = spark.createDataFrame(frames, "source int, frame int")
+    side = spark.createDataFrame([(g, at, {"at": at}) for g, at in stored], "source int, frame int, transform map<string,int>")
+    want = [(g, f, min((at for h, at in stored if h == g and None not in (at, f)), key=lambda at: (abs(at - f), at), default=None)) for g, f in frames]
+    out = registration.nearest_transform(df, side, ("source",))
+    order = lambda rows: sorted(rows, key=repr)
+    assert order((r.source, r.frame, r.source_frame) for r in out.collect()) == order(want)
+    assert all(r.transform == {"at": r.source_frame} for r in out.filter("source_frame is not null").collect())
+    # each window frame only grows, and none holds all rows
+    one = registration.nearest_transform(df.select("frame"), side.drop("source"))
+    plan = one._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "unboundedfollowing" not in plan and "[_part" in plan
+    alone = [at for _, at in stored if at is not None]
+    got = {r.frame: r.source_frame for r in one.collect()}
+    assert got == {f: f if f is None else min(alone, key=lambda at: (abs(at - f), at)) for _, f in frames}
+    assert registration.nearest_transform(df.select("frame"), side.drop("source").filter("false")).filter("source_frame is null").count() == len(frames)
+
+
 def test_chain(spark):
     rows = [(1, (1.0, 0.0, 90.0, 0.9)), (2, (1.0, 0.0, 90.0, 0.5)), (3, (1.0, 0.0, 0.0, None))]
     df = spark.createDataFrame(rows, "frame int, transform struct<dx:double,dy:double,theta:double,confidence:double>")
