@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
@@ -75,6 +76,7 @@ def decompose(a: Column, b: Column, tx: Column, c: Column, d: Column, ty: Column
 
 
 PARTS = 64  # ranges of frames that are looked up apart
+ANGLES = 100_000  # distinct reference angles that are broadcast
 
 
 def _range(x: Column, cuts: Sequence[float]) -> Column:
@@ -165,24 +167,96 @@ def chain(transforms: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return out.select(*by, "s.frame", "s.transform")
 
 
+def _covered(angle: Column, max_angle: float, top: int, k: int) -> tuple[Column, Column]:
+    """Of the half circle cut into 2^k cells: the dyadic nodes (at least `top` halvings) of the cells wholly within
+    `max_angle` of a line's angle, and the cells that may be so in part.
+    """
+    unit, slack = (1 << k) / 180.0, 1e-3
+    if max_angle >= 90:
+        return F.array(F.lit(0).cast("bigint")), F.array().cast("array<bigint>")
+    at = F.pmod(angle, F.lit(180.0))
+    low, high = (at - max_angle) * unit, (at + max_angle) * unit
+    first, last = F.ceil(low + slack), F.floor(high - slack) - 1  # cells wholly within
+    none = F.array().cast("array<bigint>")
+
+    def some(ok: Column, j: Column, level: int) -> Column:
+        return F.when(ok, F.array(_node(F.pmod(j, F.lit(1 << level)), level))).otherwise(none)
+
+    begin = F.ceil(first / (1 << k - top))
+    end = F.floor((last + 1) / (1 << k - top)) - 1
+    made = [F.when(begin <= end, F.transform(F.sequence(begin, F.greatest(begin, end)), lambda j: _node(F.pmod(j, F.lit(1 << top)), top))).otherwise(none)]
+    for level in range(top + 1, k + 1):
+        begin = F.ceil(first / (1 << k - level))
+        end = F.floor((last + 1) / (1 << k - level)) - 1
+        made += [some((begin <= end) & (begin % 2 != 0), begin, level), some((begin <= end) & (end % 2 == 0), end, level)]
+    under, over = F.floor(low - slack), F.floor(high + slack)
+    edge = F.when(first > last, F.sequence(under, over)).otherwise(F.concat(F.sequence(under, first - 1), F.sequence(last + 1, over)))
+    return F.array_distinct(F.concat(*made)), F.array_distinct(F.transform(edge, lambda j: F.pmod(j, F.lit(1 << k))))
+
+
+def _node(j: Column, level: int) -> Column:
+    return F.lit(level << 40) + j.cast("bigint")
+
+
 def match_lines(lines: DataFrame, reference: DataFrame, max_angle: float = 5.0, by: Sequence[str] = ("frame",)) -> DataFrame:
-    """Each line (by, line, angle, rho) meets the lines of its angle's bucket and the two beside it, with its nearest reference line (ref, ref_angle, ref_rho) within an angle.
+    """Each line (by, line, angle, rho) with its nearest reference line (ref, ref_angle, ref_rho) within an angle.
 
     Unmatched where the second best is no farther than 2.05 times the best (1 at least); a
-    reference line that several lines match keeps the closest.
+    reference line that several lines match keeps the closest. Offsets that are NULL are the farthest.
+
+    References are kept at the dyadic nodes of their angle and at the angle itself; a line asks the nodes that
+    its angle covers, and the single angles of the cells that it covers in part. At a node, the two nearest
+    offsets on either side come from windows that only grow, so no line meets all references of its angle.
+    The lines of one node are sorted in one task. Offsets without a finite value are joined by angle, all with all.
     """
     from celltide.functions import scalars as S
 
+    alike = F.abs(S.angle_diff(F.col("angle"), F.col("ref_angle"))) <= max_angle
+    odd = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    angles, strange = reference.agg(F.count_distinct("ref_angle"), F.count_if(odd("ref_rho"))).first()
+    top = 0 if max_angle >= 90 else min(20, math.ceil(math.log2(90 / max_angle)))
+    k = min(24, max(top, math.ceil(math.log2(max(angles, 1)))))
+    cell = F.pmod(F.floor(F.pmod(F.col("ref_angle"), F.lit(180.0)) * (1 << k) / 180), F.lit(1 << k))
+    whole, part = _covered(F.col("angle"), max_angle, top, k)
+
+    asked = lines.filter(~odd("rho") & (F.abs("angle") < float("inf"))).select(*by, "line", "angle", "rho")
+    known = reference.filter(~odd("ref_rho") & (F.abs("ref_angle") < float("inf"))).select("ref", "ref_angle", "ref_rho", cell.alias("_cell"))
+    kinds = known.select("_cell", "ref_angle").distinct()
+    kinds = F.broadcast(kinds) if angles <= ANGLES else kinds
+    met = asked.select("*", F.explode(part).alias("_cell")).join(kinds, "_cell").filter(alike)
+    met = met.select(*by, "line", "rho", _node(F.col("_cell"), k + 1).alias("_node"), F.col("ref_angle").alias("_angle"))
+    met = met.unionByName(asked.select(*by, "line", "rho", F.explode(whole).alias("_node"), F.lit(0.0).alias("_angle")))
+    inner = [_node(F.floor(F.col("_cell") / (1 << k - level)), level) for level in range(top, k + 1)]
+    held = F.array(*[F.struct(x.alias("_node"), F.lit(0.0).alias("_angle")) for x in inner], F.struct(_node(F.col("_cell"), k + 1).alias("_node"), F.col("ref_angle").cast("double").alias("_angle")))
+    held = known.select("ref", F.col("ref_rho").alias("rho"), F.explode(held).alias("_at")).select("_at.*", "rho", "ref")
+    held = held.groupBy("_node", "_angle", "rho").agg(F.min("ref").alias("ref"), F.count("*").alias("n"))
+
+    both = held.select("*", F.lit(0).alias("_q")).unionByName(met.select("*", F.lit(1).alias("_q")), allowMissingColumns=True)
+    node = W.partitionBy("_node", "_angle").rowsBetween(W.unboundedPreceding, -1)
+    for side, order in (("_b", ("rho", "_q")), ("_a", (F.desc("rho"), F.desc("_q")))):
+        last = lambda c, order=order: F.last(F.when(F.col("_q") == 0, F.struct(*c)), True).over(node.orderBy(*order))
+        both = both.withColumn(side, last(["rho", "ref", "n"])).withColumn(f"{side}2", last([F.col(f"{side}.rho").alias("rho")]))
+    far = lambda c: F.abs(F.col("rho") - F.col(c))
+    below, above = far("_b.rho"), far("_a.rho")
+    again = [F.when(F.col("_b.n") > 1, below), F.when(F.col("_a.n") > 1, above), far("_b2.rho"), far("_a2.rho")]
+    again.append(F.when(below.isNotNull() & above.isNotNull(), F.greatest(below, above)))
+    nearer = F.when(F.col("_b").isNull() | (above < below), F.col("_a.ref")).otherwise(F.col("_b.ref"))
+    found = both.filter("_q = 1 and (_b is not null or _a is not null)")
+    found = found.select(*by, "line", F.least(below, above).alias("distance"), nearer.alias("ref"), F.least(*again).alias("_second"))
+
     n = max(1, int(180 // max_angle))  # buckets of the half circle, at least max_angle wide
     bucket = lambda a: F.floor(F.pmod(a, F.lit(180.0)) * n / 180).cast("int")
     beside = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.pmod(bucket(F.col("angle")) + k, F.lit(n))))
-    met = lines.withColumn("_b", F.explode(beside)).join(reference.withColumn("_b", bucket(F.col("ref_angle"))), "_b").drop("_b")
-    met = met.filter(F.abs(S.angle_diff(F.col("angle"), F.col("ref_angle"))) <= max_angle)
-    met = met.withColumn("distance", F.abs(F.col("rho") - F.col("ref_rho")))
-    rank = W.partitionBy(*by, "line").orderBy("distance", "ref")
-    met = met.withColumn("_k", F.row_number().over(rank)).withColumn("_second", F.lead("distance").over(rank))
-    best = met.filter("_k = 1").filter(F.col("_second").isNull() | (F.col("_second") > 2.05 * F.greatest(F.col("distance"), F.lit(1.0))))
-    own = W.partitionBy(*by, "ref").orderBy("distance", "line")
+    keyed = reference.withColumn("_b", bucket(F.col("ref_angle")))
+    for some, refs in [(lines.filter(odd("rho")), keyed)] + [(lines.filter(~odd("rho")), keyed.filter(odd("ref_rho")))] * (strange > 0):
+        rest = some.withColumn("_b", F.explode(beside)).join(refs, "_b").filter(alike)
+        found = found.unionByName(rest.select(*by, "line", F.abs(F.col("rho") - F.col("ref_rho")).alias("distance"), "ref"), allowMissingColumns=True)
+
+    near = F.struct(F.col("distance").isNull().alias("void"), "distance", "ref")
+    best = found.groupBy(*by, "line").agg(F.min(near).alias("_m"), F.get(F.sort_array(F.collect_list("distance")), F.lit(1)).alias("_o"), F.min("_second").alias("_s"))
+    best = best.select(*by, "line", "_m.ref", "_m.distance", F.least("_o", "_s").alias("_second"))
+    best = best.filter(F.col("_second").isNull() | (F.col("_second") > 2.05 * F.greatest(F.col("distance"), F.lit(1.0))))
+    own = W.partitionBy(*by, "ref").orderBy(F.asc_nulls_last("distance"), F.asc_nulls_last("line"))
     return best.withColumn("_k", F.row_number().over(own)).filter("_k = 1").select(*by, "line", "ref", "distance")
 
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -526,6 +527,49 @@ def test_dedupe_lines(spark):
     assert [(r.line, r.ref) for r in registration.match_lines(one_line, ref).collect()] == [(5, 0)]
 
 
+def matched(lines, refs, most):
+    """Of (frame, line, angle, rho) and (ref, angle, rho), by all pairs; a missing distance is the farthest."""
+    far = lambda d: (d is None, d or 0.0)
+    met, best = {}, {}
+    for f, i, a, rho in lines:
+        for r, b, at in refs:
+            if abs((a - b + 90) - math.floor((a - b + 90) / 180) * 180 - 90) <= most:
+                met.setdefault((f, i), []).append((far(None if None in (rho, at) else abs(rho - at)), r))
+    for (f, i), some in met.items():
+        some.sort()
+        (void, d), r = some[0]
+        if len(some) == 1 or some[1][0][0] or void or some[1][0][1] > 2.05 * max(d, 1):
+            best.setdefault((f, r), []).append(((void, d), i))
+    return {(f, min(some)[1], r, None if min(some)[0][0] else min(some)[0][1]) for (f, r), some in best.items()}
+
+
+@pytest.mark.parametrize("most", [0.3, 5.0, 40.0, 89.0, 95.0])
+@pytest.mark.parametrize("steps", [7, 10**6])
+def test_match_lines(spark, most, steps):
+    """Against all pairs, with few and many angles, angles of any turn, repeated offsets and missing ones."""
+    rng = random.Random(steps)
+    turn = lambda: rng.randrange(-steps, 2 * steps) * 180.0 / steps
+    scale = 4000 / most**0.5
+    refs = [(j, turn(), round(rng.uniform(0, scale))) for j in range(150)] + [(200 + j, turn(), 9.0 * scale) for j in range(20)]
+    refs += [(300, 12.0, None), (301, 100.0, None)]
+    lines = [(f, i, turn(), rng.uniform(0, scale) if i % 3 else float(round(rng.uniform(0, scale)))) for f in range(3) for i in range(120)]
+    lines += [(0, 500, 12.1, None), (1, 501, 12.1, 5.0), (2, 502, None, 5.0), (2, 1, refs[3][1], refs[3][2] + 0.25)]
+    df = spark.createDataFrame([(f, i, a, r) for f, i, a, r in lines], "frame int, line int, angle double, rho double")
+    ref = spark.createDataFrame([(j, a, None if r is None else float(r)) for j, a, r in refs], "ref int, ref_angle double, ref_rho double")
+    want = matched([x for x in lines if x[2] is not None], refs, most)
+    got = {(r.frame, r.line, r.ref, r.distance) for r in registration.match_lines(df, ref, most).collect()}
+    assert got == want and len(want) > 10
+
+
+def test_match_lines_does_not_pair_all(spark):
+    """Many lines and references of one angle: no step holds a row for each pair."""
+    lines = spark.range(20000).selectExpr("0 as frame", "id as line", "0.0D as angle", "id * 10.0D as rho")
+    ref = spark.range(20000).selectExpr("id as ref", "0.0D as ref_angle", "id * 10.0D + 1 as ref_rho")
+    began = time.monotonic()
+    assert registration.match_lines(lines, ref).filter("line = ref and distance = 1").count() == 20000
+    assert time.monotonic() - began < 60
+
+
 def test_lineage_layout_of_an_incomplete_tree(spark):
     """Against a walk of the tree, leaves numbered in depth-first order."""
     n = 40
