@@ -23,10 +23,12 @@ different components with each other: all pairs of a bucket of at most `SMALL` t
 of which two texts similar enough always share one each. An n-gram of at most `RARE` texts (`RARE_WORD`
 for words) brings all of them together, one of more texts in at most half as many components two
 members of each. An n-gram of more components (a passage that very many texts share) brings nobody
-together. A text that looks at no n-gram of more texts than that has met all that are similar; the words, and last
-rounds over these buckets until one brings no link, are for the texts that do. So a pair of one bucket can only be lost if it
-shares neither a rarer 3-gram nor a rarer word (texts that differ everywhere outside such passages)
-and no round brings it together. Texts of at most `SHORT` words, whose shingles a single edit may
+together. A text that looks at no n-gram of more texts than that has met all that are similar; the words are for the
+texts that do. For those that look at a word of more texts too, there are last rounds over their buckets until one
+brings no link, and then all pairs of a bucket in different components are compared: by sizes and signatures in tiles of
+two times about `TILE` texts, which hold no row for a pair that these exclude, and by alignment what passes.
+Of more than `MANY_PAIRS`, shares of them (`SHARES`), so that links found early spare later ones. So every pair of one bucket
+is tested, excluded or in one class. That last step grows with the square of such texts in a bucket. Texts of at most `SHORT` words, whose shingles a single edit may
 all change, also share a bucket with every text that is within the edits allowed, by the words left
 after deletions.
 Pairs whose numbers of words exclude a link aren't tested. Texts are shuffled by id, and only those
@@ -62,6 +64,9 @@ RARE = 128
 RARE_WORD = 16
 COMMON = 1 << 16
 SHORT = 14
+TILE = 2048
+MANY_PAIRS = 10_000_000
+SHARES = (1 / 64, 1 / 8, 1.0)
 SIGNS = 256
 BROADCAST_ROWS = 200_000
 STAR_STEPS = 40
@@ -357,6 +362,53 @@ def _prefixes(least: float, size: int, common: np.ndarray):
     return run
 
 
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = [signature(np.frombuffer(x.as_py(), np.uint32)) for x in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["d", "signs"])
+
+
+def _tiled(least: float, share: float):
+    """a, b of a tile's pairs of two slots (or of one) in different components that may be similar: a share of them, by their hash."""
+
+    def run(table: pa.Table) -> pa.Table:
+        d, w, label, slot = (table.column(c).to_numpy() for c in ("d", "w", "label", "slot"))
+        signs = table.column("signs").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(d), -1)
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        one, two = np.flatnonzero(slot == i), np.flatnonzero(slot == j)
+        found: list[tuple[np.ndarray, np.ndarray]] = [(d[:0], d[:0])]
+        for lo in range(0, len(one), SLICE):
+            x = one[lo : lo + SLICE]
+            most = np.floor((1 - least) * np.maximum(w[x][:, None], w[two]) + 1e-9)
+            ok = (label[x][:, None] != label[two]) & (np.abs(w[x][:, None] - w[two]) <= most)
+            if i == j:
+                ok &= d[x][:, None] < d[two]
+            r, c = np.nonzero(ok)
+            differ = np.bitwise_count(signs[x[r]] ^ signs[two[c]]).sum(axis=1, dtype=np.int64)
+            kept = differ <= 2 * most[r, c]
+            a, b = d[x[r[kept]]], d[two[c[kept]]]
+            a, b = np.minimum(a, b), np.maximum(a, b)
+            if share < 1:
+                chosen = _mix(_mix(a.view(np.uint64)) + b.view(np.uint64)) < _U(int(share * 2**64))
+                a, b = a[chosen], b[chosen]
+            found.append((a, b))
+        return pa.table({"a": np.concatenate([a for a, _ in found]), "b": np.concatenate([b for _, b in found])})
+
+    return run
+
+
+def _tiles(left: DataFrame, words: DataFrame, least: float, share: float) -> DataFrame:
+    """a, b of all pairs of a bucket in different components that may be similar, or a share of them.
+
+    A bucket's members are dealt to slots of about `TILE`, and each two slots are compared in one group.
+    """
+    signed = words.join(_side(left.select("d").distinct()), "d", "left_semi").mapInArrow(_signed, "d bigint, signs array<bigint>")
+    slots = F.ceil(F.col("n") / TILE)
+    dealt = left.select("key", "d", "w", "label", F.pmod(F.xxhash64("key", "d"), slots).alias("slot"), F.explode(F.sequence(F.lit(0), slots - 1)).alias("other"))
+    dealt = dealt.join(signed, "d").withColumns({"i": F.least("slot", "other"), "j": F.greatest("slot", "other")})
+    return dealt.groupBy("key", "i", "j").applyInArrow(_tiled(least, share), "a bigint, b bigint").distinct()
+
+
 def _side(df: DataFrame) -> DataFrame:
     """A written relation of ids as a join side: broadcast below a bound on its rows."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -545,6 +597,16 @@ def _labels(docs: DataFrame, text: str, doc_id: str, least: float) -> tuple[Data
     crowded, r = left.filter(F.col("n") > SMALL).drop("label").join(_side(unsure), "d", "left_semi"), ROUNDS
     while not unsure.isEmpty() and test(_met(crowded, labels, r, least)):
         r += 1
+    shares: tuple[float, ...] = () if unsure.isEmpty() else SHARES
+    while shares:  # every pair that may still be missing
+        share, *shares = shares
+        rest = _open(crowded, labels)
+        size = rest.select("key", "n").distinct().agg(F.sum(F.col("n").cast("double") ** 2 / 2)).first()[0] or 0
+        if not size:
+            break
+        if size <= MANY_PAIRS:
+            share, shares = 1.0, ()
+        test(_tiles(rest, words, least, share))
     slim = sketched.select("doc_id", "d").join(_side(labels), "d", "left").select(
         "doc_id", "d", F.coalesce("label", "d").alias("label")
     )

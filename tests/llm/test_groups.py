@@ -201,6 +201,30 @@ def test_crowded_texts_lose_no_pair_of_a_rare_gram(spark, monkeypatch):
     assert {(r.doc_id, r.class_id, r.class_size) for r in got} == {(i, *c) for (i, _), c in brute_classes(rows).items()}
 
 
+@pytest.mark.parametrize("tile, many", [(8, 0)])
+def test_near_duplicates_that_share_common_words_only(spark, tile, many, monkeypatch):
+    """No n-gram and no later round brings texts together: all links of a bucket are found, in tiles and shares."""
+    import random
+
+    for name, value in (("RARE", 1), ("RARE_WORD", 1), ("TILE", tile), ("MANY_PAIRS", many)):
+        monkeypatch.setattr(neardup, name, value, raising=False)
+    monkeypatch.setattr(neardup, "_met", lambda shared, *_: shared.filter("false").select(F.col("d").alias("a"), F.col("d").alias("b")))
+    rng = random.Random(3)
+    common = [f"p{i}" for i in range(100)]
+    own = [f"w{i}" for i in range(16)]
+    texts = []
+    for _ in range(12):
+        words = [rng.choice(own) for _ in range(60)]
+        other = list(words)
+        for j in rng.sample(range(60), 26):
+            other[j] = rng.choice(own)
+        texts += [" ".join(words[:30] + common + words[30:]), " ".join(other[:30] + common + other[30:])]
+    rows = list(enumerate(texts))
+    got = neardup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    want = {(i, *c) for (i, _), c in brute_classes(rows).items()}
+    assert {(r.doc_id, r.class_id, r.class_size) for r in got} == want and max(w[2] for w in want) > 1
+
+
 @pytest.mark.parametrize("least", [0.8, 0.6, 0.4])
 def test_similar_texts_share_a_prefix(least):
     import random
