@@ -68,6 +68,7 @@ TILE = 2048
 MANY_PAIRS = 10_000_000
 SHARES = (1 / 64, 1 / 8, 1.0)
 SIGNS = 256
+TILE_SIGNS = 1024
 BROADCAST_ROWS = 200_000
 STAR_STEPS = 40
 
@@ -256,9 +257,9 @@ def gram_size(least: float) -> int:
     return 3 if least > 0.67 else 2 if least > 0.51 else 1
 
 
-def signature(words: np.ndarray) -> np.ndarray:
-    """`SIGNS` bits, as 64-bit integers: of which hash values the text has an odd number of words. An edit changes at most two."""
-    odd = np.bincount((_mix(words.astype(np.uint64)) % _U(SIGNS)).astype(np.int64), minlength=SIGNS) & 1
+def signature(words: np.ndarray, signs: int = SIGNS) -> np.ndarray:
+    """`signs` bits, as 64-bit integers: of which hash values the text has an odd number of words. An edit changes at most two."""
+    odd = np.bincount((_mix(words.astype(np.uint64)) % _U(signs)).astype(np.int64), minlength=signs) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -364,7 +365,7 @@ def _prefixes(least: float, size: int, common: np.ndarray):
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        made = [signature(np.frombuffer(x.as_py(), np.uint32)) for x in batch.column(1)]
+        made = [signature(np.frombuffer(x.as_py(), np.uint32), TILE_SIGNS) for x in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["d", "signs"])
 
 
@@ -377,8 +378,8 @@ def _tiled(least: float, share: float):
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         one, two = np.flatnonzero(slot == i), np.flatnonzero(slot == j)
         found: list[tuple[np.ndarray, np.ndarray]] = [(d[:0], d[:0])]
-        for lo in range(0, len(one), SLICE):
-            x = one[lo : lo + SLICE]
+        for lo in range(0, len(one), SLICE // 4):
+            x = one[lo : lo + SLICE // 4]
             most = np.floor((1 - least) * np.maximum(w[x][:, None], w[two]) + 1e-9)
             ok = (label[x][:, None] != label[two]) & (np.abs(w[x][:, None] - w[two]) <= most)
             if i == j:
