@@ -25,12 +25,13 @@ for words) brings all of them together, one of more texts in at most half as man
 members of each. An n-gram of more components (a passage that very many texts share) brings nobody
 together. A text that looks at no n-gram of more texts than that has met all that are similar; the words are for the
 texts that do. For those that look at a word of more texts too, there are last rounds over their buckets until one
-brings no link, and then all pairs of a bucket in different components are compared: by sizes and signatures in tiles of
-two times about `TILE` texts, which hold no row for a pair that these exclude, and by alignment what passes.
-Of more than `MANY_PAIRS`, shares of them (`SHARES`), so that links found early spare later ones. So every pair of one bucket
-is tested, excluded or in one class. That last step grows with the square of such texts in a bucket. Texts of at most `SHORT` words, whose shingles a single edit may
-all change, also share a bucket with every text that is within the edits allowed, by the words left
-after deletions.
+brings no link, and then all pairs of a bucket in different components are compared in tiles of two times about `TILE`
+texts or `TILE_WORDS` words: by sizes and counts of words, and by alignment what passes. A tile holds the words of its
+texts, so no pair becomes a row; it gives the links that join components, and a pair of several buckets is aligned in one
+of them. So every pair of one bucket is tested, excluded or in one class. The rows of that last step grow with such texts (with
+their square beyond a tile, 1 / `TILE` of it), its comparisons with the square of such texts in a bucket. Texts of at most
+`SHORT` words, whose shingles a single edit may all change, also share a bucket with every text that is within the edits
+allowed, by the words left after deletions.
 Pairs whose numbers of words exclude a link aren't tested. Texts are shuffled by id, and only those
 that share a bucket. Components are found by
 alternating large-star and small-star steps over written tables. Relations of ids (16 bytes a
@@ -65,10 +66,9 @@ RARE_WORD = 16
 COMMON = 1 << 16
 SHORT = 14
 TILE = 2048
-MANY_PAIRS = 10_000_000
-SHARES = (1 / 64, 1 / 8, 1.0)
+TILE_WORDS = 1 << 20
+BINS = 1024
 SIGNS = 256
-TILE_SIGNS = 1024
 BROADCAST_ROWS = 200_000
 STAR_STEPS = 40
 
@@ -263,6 +263,16 @@ def signature(words: np.ndarray, signs: int = SIGNS) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def counts(words: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """How many words have each hash value, 255 at most.
+
+    Two texts k edits apart differ by at most k words more and k fewer: the sum of all differences and the difference
+    of the numbers of words are together at most 2 k, in the texts, in bins and with bounded bins.
+    """
+    n = np.bincount((_mix(words.astype(np.uint64)) % _U(bins)).astype(np.int64), minlength=bins)
+    return np.minimum(n, 255).astype(np.uint8)
+
+
 def prefix(n: int, least: float, size: int) -> int:
     """How many n-grams of a text of n words, first in any order common to all, hold one of each similar text.
 
@@ -363,51 +373,55 @@ def _prefixes(least: float, size: int, common: np.ndarray):
     return run
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        made = [signature(np.frombuffer(x.as_py(), np.uint32), TILE_SIGNS) for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["d", "signs"])
-
+def _tiled(least: float):
+    """a, b of links between a tile's texts of two slots (or of one), no more than join what all its links join.
 
-def _tiled(least: float, share: float):
-    """a, b of a tile's pairs of two slots (or of one) in different components that may be similar: a share of them, by their hash."""
+    A pair that shares several buckets is left to one of them, chosen by its hashes.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        d, w, label, slot = (table.column(c).to_numpy() for c in ("d", "w", "label", "slot"))
-        signs = table.column("signs").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(d), -1)
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        d, slot = table.column("d").to_pylist(), table.column("slot").to_numpy()
+        key, i, j = (table.column(c)[0].as_py() for c in ("key", "i", "j"))
+        words = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("words")]
+        keys = [frozenset(x) for x in table.column("keys").to_pylist()]
+        n, counted = np.array([len(x) for x in words]), np.stack([counts(x) for x in words])
+        group = np.unique(table.column("label").to_numpy(), return_inverse=True)[1]
         one, two = np.flatnonzero(slot == i), np.flatnonzero(slot == j)
-        found: list[tuple[np.ndarray, np.ndarray]] = [(d[:0], d[:0])]
+        found: list[tuple[int, int]] = []
         for lo in range(0, len(one), SLICE // 4):
-            x = one[lo : lo + SLICE // 4]
-            most = np.floor((1 - least) * np.maximum(w[x][:, None], w[two]) + 1e-9)
-            ok = (label[x][:, None] != label[two]) & (np.abs(w[x][:, None] - w[two]) <= most)
+            x = one[lo : lo + SLICE // 4, None]
+            most = np.floor((1 - least) * np.maximum(n[x], n[two]) + 1e-9)
+            ok = (group[x] != group[two]) & (np.abs(n[x] - n[two]) <= most)
             if i == j:
-                ok &= d[x][:, None] < d[two]
+                ok &= x < two
             r, c = np.nonzero(ok)
-            differ = np.bitwise_count(signs[x[r]] ^ signs[two[c]]).sum(axis=1, dtype=np.int64)
-            kept = differ <= 2 * most[r, c]
-            a, b = d[x[r[kept]]], d[two[c[kept]]]
-            a, b = np.minimum(a, b), np.maximum(a, b)
-            if share < 1:
-                chosen = _mix(_mix(a.view(np.uint64)) + b.view(np.uint64)) < _U(int(share * 2**64))
-                a, b = a[chosen], b[chosen]
-            found.append((a, b))
-        return pa.table({"a": np.concatenate([a for a, _ in found]), "b": np.concatenate([b for _, b in found])})
+            for at in range(0, len(r), 4096):
+                p, q = x[r[at : at + 4096], 0], two[c[at : at + 4096]]
+                differ = (np.maximum(counted[p], counted[q]) - np.minimum(counted[p], counted[q])).sum(axis=1, dtype=np.int64)
+                kept = differ + np.abs(n[p] - n[q]) <= 2 * most[r[at : at + 4096], c[at : at + 4096]]
+                for a, b in zip(p[kept].tolist(), q[kept].tolist()):
+                    if group[a] == group[b]:
+                        continue
+                    both = sorted(keys[a] & keys[b])
+                    if both[(d[a] ^ d[b]) % len(both)] == key and similar(words[a], words[b], least):
+                        group[group == group[b]] = group[a]
+                        found.append((min(d[a], d[b]), max(d[a], d[b])))
+        return pa.table({name: pa.array([pair[k] for pair in found], pa.int64()) for k, name in enumerate("ab")})
 
     return run
 
 
-def _tiles(left: DataFrame, words: DataFrame, least: float, share: float) -> DataFrame:
-    """a, b of all pairs of a bucket in different components that may be similar, or a share of them.
+def _tiles(left: DataFrame, words: DataFrame, least: float) -> DataFrame:
+    """a, b, ok of links that join all components of which members of one bucket are similar.
 
-    A bucket's members are dealt to slots of about `TILE`, and each two slots are compared in one group.
+    A bucket's members are dealt to slots of about `TILE` texts or `TILE_WORDS` words, and each two slots are compared in one group.
     """
-    signed = words.join(_side(left.select("d").distinct()), "d", "left_semi").mapInArrow(_signed, "d bigint, signs array<bigint>")
-    slots = F.ceil(F.col("n") / TILE)
-    dealt = left.select("key", "d", "w", "label", F.pmod(F.xxhash64("key", "d"), slots).alias("slot"), F.explode(F.sequence(F.lit(0), slots - 1)).alias("other"))
-    dealt = dealt.join(signed, "d").withColumns({"i": F.least("slot", "other"), "j": F.greatest("slot", "other")})
-    return dealt.groupBy("key", "i", "j").applyInArrow(_tiled(least, share), "a bigint, b bigint").distinct()
+    texts = words.join(_side(left.select("d").distinct()), "d", "left_semi")
+    texts = texts.join(left.groupBy("d").agg(F.collect_list("key").alias("keys")), "d")
+    slots = F.ceil(F.greatest(F.col("n") / TILE, F.col("total") / TILE_WORDS))
+    dealt = left.select("key", "d", "label", F.pmod(F.xxhash64("key", "d"), slots).alias("slot"), F.explode(F.sequence(F.lit(0), slots - 1)).alias("other"))
+    dealt = dealt.join(texts, "d").withColumns({"i": F.least("slot", "other"), "j": F.greatest("slot", "other")})
+    return dealt.groupBy("key", "i", "j").applyInArrow(_tiled(least), "a bigint, b bigint").distinct().withColumn("ok", F.lit(True))
 
 
 def _side(df: DataFrame) -> DataFrame:
@@ -511,10 +525,10 @@ def _crowded(texts: DataFrame, labels: DataFrame, least: float, size: int, rare:
 
 
 def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of the buckets that hold several components, with their labels and the buckets' sizes (n)."""
-    members = shared.drop("n").join(_side(labels), "d")
-    open_ = members.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
-    open_ = written(open_.filter("low <> high").select("key", "n"), "open")
+    """The rows of the buckets that hold several components, with their labels and the buckets' sizes (n, and total words)."""
+    members = shared.drop("n", "total").join(_side(labels), "d")
+    open_ = members.groupBy("key").agg(F.count("*").alias("n"), F.sum("w").alias("total"), F.min("label").alias("low"), F.max("label").alias("high"))
+    open_ = written(open_.filter("low <> high").select("key", "n", "total"), "open")
     return written(members.join(_side(open_), "key"), "left")
 
 
@@ -550,7 +564,7 @@ def _met(shared: DataFrame, labels: DataFrame, r: int, least: float) -> DataFram
 
 
 def _labels(docs: DataFrame, text: str, doc_id: str, least: float) -> tuple[DataFrame, DataFrame | None]:
-    """(doc_id, d, label) of every row, d being its text's hash, and the tested pairs (a, b, ok)."""
+    """(doc_id, d, label) of every row, d being its text's hash, and the tested pairs (a, b, ok), of those tested in tiles only links."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("d", F.xxhash64("text"))
     sketched = written(
@@ -598,16 +612,9 @@ def _labels(docs: DataFrame, text: str, doc_id: str, least: float) -> tuple[Data
     crowded, r = left.filter(F.col("n") > SMALL).drop("label").join(_side(unsure), "d", "left_semi"), ROUNDS
     while not unsure.isEmpty() and test(_met(crowded, labels, r, least)):
         r += 1
-    shares: tuple[float, ...] = () if unsure.isEmpty() else SHARES
-    while shares:  # every pair that may still be missing
-        share, *shares = shares
-        rest = _open(crowded, labels)
-        size = rest.select("key", "n").distinct().agg(F.sum(F.col("n").cast("double") ** 2 / 2)).first()[0] or 0
-        if not size:
-            break
-        if size <= MANY_PAIRS:
-            share, shares = 1.0, ()
-        test(_tiles(rest, words, least, share))
+    if not unsure.isEmpty():  # every pair that may still be missing
+        found = written(_tiles(_open(crowded, labels), words, least), "links")
+        tested, labels = tested.unionByName(found), _merged(labels, found)
     slim = sketched.select("doc_id", "d").join(_side(labels), "d", "left").select(
         "doc_id", "d", F.coalesce("label", "d").alias("label")
     )

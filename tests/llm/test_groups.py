@@ -225,6 +225,73 @@ def test_near_duplicates_that_share_common_words_only(spark, tile, many, monkeyp
     assert {(r.doc_id, r.class_id, r.class_size) for r in got} == want and max(w[2] for w in want) > 1
 
 
+@pytest.mark.parametrize("tile, tile_words", [(2048, 1 << 20), (16, 1 << 20), (2048, 2000)])
+def test_pairs_of_a_crowd_are_no_rows(spark, tile, tile_words, monkeypatch):
+    """100 texts that only common words tell apart, whatever is cut short before: all links, and rows in proportion to texts."""
+    import random
+
+    for name, value in (("RARE", 1), ("RARE_WORD", 1), ("SMALL", 2), ("ROUNDS", 1), ("SLICE_OF", 4), ("TILE", tile), ("TILE_WORDS", tile_words)):
+        monkeypatch.setattr(neardup, name, value, raising=False)
+    monkeypatch.setattr(neardup, "_met", lambda shared, *_: shared.filter("false").select(F.col("d").alias("a"), F.col("d").alias("b")))
+    rows_made, links, tiles = [], neardup._links, neardup._tiles
+
+    def counted(f):
+        def run(*args):
+            out = f(*args)
+            rows_made.append((args[0] if f is links else out).count())
+            return out
+
+        return run
+
+    monkeypatch.setattr(neardup, "_links", counted(links))
+    monkeypatch.setattr(neardup, "_tiles", counted(tiles))
+    rng = random.Random(3)
+    common = [f"p{i}" for i in range(100)]
+    own = [f"w{i}" for i in range(16)]
+    texts = []
+    for _ in range(50):
+        words = [rng.choice(own) for _ in range(60)]
+        other = list(words)
+        for j in rng.sample(range(60), 30):
+            other[j] = rng.choice(own)
+        texts += [" ".join(words[:30] + common + words[30:]), " ".join(other[:30] + common + other[30:])]
+    rows = list(enumerate(texts))
+    got = neardup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    want = {(i, *c) for (i, _), c in brute_classes(rows).items()}
+    assert {(r.doc_id, r.class_id, r.class_size) for r in got} == want and max(w[2] for w in want) > 1
+    assert sum(rows_made) <= 12 * len(texts)  # of 4,950 pairs; a text meets the least of its bucket in each of `FIRST` functions
+
+
+@pytest.mark.parametrize("least", [0.8, 0.5])
+def test_tiles_link_what_shares_a_bucket(least):
+    """Over the tiles of two buckets: components as by all pairs of a bucket, each pair in one of its buckets."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    base = [rng.integers(0, 30, 50) for _ in range(8)]
+    words = [np.where(rng.random(50) < 0.09, rng.integers(0, 30, 50), b).astype(np.uint32) for b in base for _ in range(6)]
+    keys = [[7], [-9], [-9, 7]]
+    held = [keys[int(rng.integers(0, 3))] for _ in words]
+    slot = rng.integers(0, 2, len(words))
+    links = []
+    for key in (7, -9):
+        for i, j in ((0, 0), (0, 1), (1, 1)):
+            at = [x for x in range(len(words)) if key in held[x] and slot[x] in (i, j)]
+            columns = {"key": [key] * len(at), "d": at, "label": at, "slot": slot[at], "i": [i] * len(at), "j": [j] * len(at)}
+            columns |= {"words": [words[x].tobytes() for x in at], "keys": [held[x] for x in at]}
+            links += [tuple(r.values()) for r in neardup._tiled(least)(pa.table(columns)).to_pylist()]
+    assert len(links) == len(set(links)) and all(a < b and neardup.similar(words[a], words[b], least) for a, b in links)
+
+    def parts(pairs):
+        of = list(range(len(words)))
+        for a, b in pairs:
+            of = [of[a] if x == of[b] else x for x in of]
+        return {tuple(x for x in range(len(of)) if of[x] == y) for y in of}
+
+    every = [(a, b) for b in range(len(words)) for a in range(b) if set(held[a]) & set(held[b]) and neardup.similar(words[a], words[b], least)]
+    assert parts(links) == parts(every) and len(links) < len(every)
+
+
 @pytest.mark.parametrize("least", [0.8, 0.6, 0.4])
 def test_similar_texts_share_a_prefix(least):
     import random
@@ -291,6 +358,19 @@ def test_signatures_never_part_similar_texts():
     assert len(neardup.signature(np.zeros(0, np.uint32))) == neardup.SIGNS // 64
 
 
+def test_counts_never_part_similar_texts():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        a = np.concatenate([rng.integers(0, 40, int(rng.integers(1, 120))), np.full(int(rng.integers(0, 2)) * 400, 7)]).astype(np.uint32)
+        b, edits = list(a), int(rng.integers(0, 30))
+        for _ in range(edits):
+            at, kind = int(rng.integers(0, len(b) + 1)), int(rng.integers(0, 3))
+            b[at : at + (kind > 0)] = [np.uint32(rng.integers(0, 40))] * (kind < 2)
+        x, y = (neardup.counts(np.array(w, np.uint32)).astype(int) for w in (a, b))
+        assert abs(x - y).sum() + abs(len(a) - len(b)) <= 2 * edits
+    assert neardup.counts(np.zeros(0, np.uint32)).sum() == 0
+
+
 def test_sketches_keep_order():
     a = np.arange(1, 400, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     same = (neardup.sketch(a) == neardup.sketch(np.concatenate([a[200:], a[:200]]))).mean()
