@@ -320,13 +320,12 @@ def _verified(least: float):
 
 
 def _links(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
-    """a, b, ok of distinct pairs a < b; only the words of their members are shuffled."""
+    """a, b, ok of distinct pairs a < b; the words of a go with each pair to those of b, and only the words of their members are shuffled."""
     pairs = written(pairs, "pairs")
-    ends = written(pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct(), "ends")
-    words = words.join(_side(ends), "d", "left_semi")
-    left = words.select(F.col("d").alias("a"), F.col("words").alias("left_words"))
-    right = words.select(F.col("d").alias("b"), F.col("words").alias("right_words"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "left_words", "right_words")
+    ends = written(pairs.select(F.col("b").alias("d")).distinct(), "ends")
+    left = words.select(F.col("d").alias("a"), F.col("words").alias("left_words")).join(_side(pairs), "a")
+    right = words.join(_side(ends), "d", "left_semi").select(F.col("d").alias("b"), F.col("words").alias("right_words"))
+    both = left.join(right, "b").select("a", "b", "left_words", "right_words")
     return both.mapInArrow(_verified(least), "a bigint, b bigint, ok boolean")
 
 
@@ -338,7 +337,7 @@ def _among(grams: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def _grams(size: int, common: np.ndarray):
-    """d, gram of each word n-gram that is not in `common`."""
+    """d, label, gram of each word n-gram that is not in `common`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         void = np.zeros(size - 1, np.uint64)
@@ -348,10 +347,11 @@ def _grams(size: int, common: np.ndarray):
                 words = [np.frombuffer(x.as_py(), np.uint32).astype(np.uint64) for x in part.column(1)]
                 grams = [shingles(np.concatenate([void, w]), size) for w in words]
                 n = np.array([len(g) for g in grams])
-                ids, all_ = np.repeat(part.column(0).to_numpy(), n), np.concatenate(grams).view(np.int64)
+                ids, labels = (np.repeat(part.column(k).to_numpy(), n) for k in (0, 2))
+                all_ = np.concatenate(grams).view(np.int64)
                 kept = ~_among(all_, common)
-                made = [ids[kept], all_[kept]]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["d", "gram"])
+                made = [ids[kept], labels[kept], all_[kept]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["d", "label", "gram"])
 
     return run
 
@@ -500,15 +500,16 @@ def _crowded(texts: DataFrame, labels: DataFrame, least: float, size: int, rare:
     nobody together the `COMMON` most frequent stand last: a text's number of them tells whether it looks
     at one, so their occurrences are neither shuffled nor joined.
     """
-    none, text = np.zeros(0, np.int64), W.partitionBy("d")
-    met = texts.mapInArrow(_grams(size, none), "d bigint, gram bigint").join(_side(labels), "d").groupBy("gram", "label").agg(F.count("*").alias("times"))
+    none, text, grams = np.zeros(0, np.int64), W.partitionBy("d"), "d bigint, label bigint, gram bigint"
+    texts = texts.join(_side(labels), "d").select("d", "words", "label")
+    met = texts.mapInArrow(_grams(size, none), grams).groupBy("gram", "label").agg(F.count("*").alias("times"))
     met = met.groupBy("gram").agg(F.sum("times").alias("times"), F.count("*").alias("labels")).filter("labels > 1")
     met = written(met, "grams")
     most = met.filter((F.col("times") > rare) & (2 * F.col("labels") > rare)).orderBy(F.desc("times"), "gram").limit(COMMON).select("gram")
     common = np.sort(np.array([r.gram for r in most.collect()], np.int64))
     sizes = texts.mapInArrow(_prefixes(least, size, common), "d bigint, n bigint, first bigint, common bigint, signs array<bigint>")
-    sizes = written(sizes.join(_side(labels), "d"), "sizes")
-    rows = texts.mapInArrow(_grams(size, common), "d bigint, gram bigint").join(_side(met), "gram").join(_side(sizes), "d")
+    sizes = written(sizes, "sizes")
+    rows = texts.mapInArrow(_grams(size, common), grams).join(_side(met), "gram").join(_side(sizes), "d")
     rows = rows.withColumn("own", F.col("n") - F.col("common") - F.count("*").over(text))
     rows = rows.withColumn("rank", F.row_number().over(text.orderBy("labels", "gram"))).filter("own + rank <= first")
     rows = written(rows.select("gram", "times", "labels", "d", "label", "n", "signs"), "prefixes")
@@ -609,10 +610,11 @@ def _labels(docs: DataFrame, text: str, doc_id: str, least: float) -> tuple[Data
     left = _open(shared, labels)
     pairs, unsure = _rest(left, labels, words, least)
     test(pairs)
-    crowded, r = left.filter(F.col("n") > SMALL).drop("label").join(_side(unsure), "d", "left_semi"), ROUNDS
-    while not unsure.isEmpty() and test(_met(crowded, labels, r, least)):
-        r += 1
     if not unsure.isEmpty():  # every pair that may still be missing
+        # each round and the tiles read these rows: written once, so that they are not joined anew each time
+        crowded, r = written(left.filter(F.col("n") > SMALL).drop("label").join(_side(unsure), "d", "left_semi"), "unsure"), ROUNDS
+        while test(_met(crowded, labels, r, least)):
+            r += 1
         found = written(_tiles(_open(crowded, labels), words, least), "links")
         tested, labels = tested.unionByName(found), _merged(labels, found)
     slim = sketched.select("doc_id", "d").join(_side(labels), "d", "left").select(

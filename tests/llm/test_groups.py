@@ -262,6 +262,34 @@ def test_pairs_of_a_crowd_are_no_rows(spark, tile, tile_words, monkeypatch):
     assert sum(rows_made) <= 12 * len(texts)  # of 4,950 pairs; a text meets the least of its bucket in each of `FIRST` functions
 
 
+def test_rounds_read_rows_that_are_written(spark, monkeypatch):
+    """What the rounds over undecided texts and the tiles read is joined once, and each step reads the words of a pair's second text only."""
+    import random
+
+    for name, value in (("RARE", 1), ("RARE_WORD", 1), ("SMALL", 2), ("ROUNDS", 1), ("SLICE_OF", 4)):
+        monkeypatch.setattr(neardup, name, value)
+    plans, met, open_, links = [], neardup._met, neardup._open, neardup._links
+
+    def seen(f, which):
+        def run(*args):
+            out = f(*args)
+            plans.append((f.__name__, (out if which is None else args[which])._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi")))
+            return out
+
+        return run
+
+    monkeypatch.setattr(neardup, "_met", seen(met, 0))
+    monkeypatch.setattr(neardup, "_open", seen(open_, 0))
+    monkeypatch.setattr(neardup, "_links", seen(links, None))
+    rng = random.Random(5)
+    common, own = [f"p{i}" for i in range(100)], [f"w{i}" for i in range(16)]
+    rows = [(i, " ".join([*common, *(rng.choice(own) for _ in range(40 + i % 2))])) for i in range(40)]
+    got = neardup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r.doc_id, r.class_id, r.class_size) for r in got} == {(i, *c) for (i, _), c in brute_classes(rows).items()}
+    assert sum(f == "_met" for f, _ in plans) and sum(f == "_open" for f, _ in plans) == 2  # the last one for the tiles
+    assert all(n == (f == "_links") for f, n in plans), plans
+
+
 @pytest.mark.parametrize("least", [0.8, 0.5])
 def test_tiles_link_what_shares_a_bucket(least):
     """Over the tiles of two buckets: components as by all pairs of a bucket, each pair in one of its buckets."""
