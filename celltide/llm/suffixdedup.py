@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from celltide.llm.common import written
+from celltide.llm.common import released, written
 
 LENGTH = 200
 ANCHOR = 64
@@ -46,6 +46,8 @@ ANCHOR = 64
 SHALLOW = 96
 #: Anchors that a task holds before it sends its blocks.
 HOLD = 1_500_000
+#: Rows that a task holds before it sends them.
+HELD = 20_000
 HOT = 100_000
 BROADCAST_ROWS = 200_000
 MAX_BUCKETS = 1 << 14
@@ -149,6 +151,8 @@ def _sent(buckets: int):
                         held, size = [], 0
         if held:
             yield from give()
+        held.clear()
+        released()
 
     return run
 
@@ -201,9 +205,13 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences (row, start, key), and once per task and key its context (anchor, side, context, many)."""
     names = [x.split()[0] for x in CONTEXTS.split(", ")]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()]
+
+    def given(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names=names)
+
     for batch in batches:
         met: dict[int, list] = {}
-        places = []
+        places: list[tuple] = []
         for row, text, lists in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
             raw = text.as_py().encode("utf-8", "replace")
             wanted = np.unique(np.concatenate([np.asarray(x, np.int64) for x in lists]))
@@ -212,15 +220,19 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for at, anchor, i, j in zip(p[keep].tolist(), h[keep].view(np.int64).tolist(), first[keep].tolist(), last[keep].tolist()):
                 context = raw[i : j + LENGTH]
                 key = _key(anchor, at - i, context)
-                places.append((row, i, key))
+                places.append((row, i, key, None, None, None, None))
                 if key in met:
                     met[key][3] = True
                 else:
                     met[key] = [anchor, at - i, context, False]
-        rows = [(*x, None, None, None, None) for x in places] + [(None, None, k, *v) for k, v in met.items()]
-        for lo in range(0, len(rows), 20_000):
-            part = rows[lo : lo + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in part], k) for i, k in enumerate(kinds)], names=names)
+            if len(places) >= HELD:  # only contexts wait for the end of the batch, where it is known which occurred twice
+                yield given(places)
+                places = []
+        if places:
+            yield given(places)
+        while met:
+            yield given([(None, None, k, *v) for k, v in (met.popitem() for _ in range(min(HELD, len(met))))])
+    released()
 
 
 # ---------------------------------------------------------------- deep-shallow sorting
@@ -388,6 +400,8 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bounds = np.searchsorted(begin[:, 0], np.arange(len(keys) + 1)) * 2
     lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))
     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), lists], names=["key", "ranges"])
+    del keys, anchor, side, context, many, found, edge, begin, end, flat, bounds, lists, batch
+    released()
 
 
 def _counted(contexts: DataFrame) -> DataFrame:
@@ -497,6 +511,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
                     [part.column(0), *(pa.array([m[i] for m in made], k) for i, k in enumerate(kinds))],
                     names=["doc_id", *RESULT.fieldNames()],
                 )
+        released()
 
     joined = rows.join(side, "row", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(run, T.StructType([rows.schema["doc_id"], *RESULT.fields]))

@@ -52,6 +52,29 @@ def test_repeats_empty(empty):
     assert suffixdedup.remove_repeats(empty).collect() == []
 
 
+def test_places_are_not_held():
+    """Occurrences leave a task as they are found: what it holds follows the contexts, not the occurrences."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    text = bytes(rng.integers(97, 123, 20_000, dtype=np.uint8)).decode()
+    wanted = [suffixdedup.anchors(np.frombuffer(text.encode(), np.uint8))[0].tolist()]
+    n = 400
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([text] * n), pa.array([wanted] * n, pa.list_(pa.list_(pa.int32())))], names=["row", "text", "positions"])
+    next(suffixdedup._contexts(iter([batch.slice(0, 1)])))
+    tracemalloc.start()
+    places = contexts = 0
+    for out in suffixdedup._contexts(iter([batch])):
+        places += out.num_rows - out.column("row").null_count
+        contexts += out.column("row").null_count
+        assert out.column("many").null_count + sum(out.column("many").to_pylist().count(x) for x in (True,)) == out.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert contexts == len(wanted[0]) and places == n * contexts and peak < 14e6, peak
+
+
 def test_deep_shallow_order():
     rng = np.random.default_rng(3)
     stem = bytes(rng.integers(97, 99, 120, dtype=np.uint8))
