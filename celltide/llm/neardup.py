@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from celltide.llm.common import SLICE, fresh, written
+from celltide.llm.common import SLICE, fresh, relieved, written
 
 SHINGLE = 5
 SKETCHES = 48
@@ -435,27 +435,32 @@ def components(edges: DataFrame, steps: int = STAR_STEPS) -> DataFrame:
     Alternates large-star (neighbours above a node go to its least neighbour) and small-star
     (neighbours below it do) until no edge changes.
     """
+
+    def state(edges: DataFrame) -> tuple:
+        return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+
     edges = written(edges.select("a", "b").distinct(), "edges")
-    before = None
+    before = state(edges)
     for _ in range(steps):
-        small_enough = edges.count() <= BROADCAST_ROWS // 2
+        small_enough = before[0] <= BROADCAST_ROWS // 2
 
         def with_least(rows: DataFrame, small_enough: bool = small_enough) -> DataFrame:
             least = rows.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
             return rows.join(F.broadcast(least) if small_enough else least, "a")
 
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        turned = F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
+        both = edges.select(F.inline(F.array(F.struct("a", "b"), turned)))
         large = with_least(both).filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(F.broadcast(lowest) if small_enough else lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         made = small.filter("a <> b").union(lowest.select("a", F.col("m").alias("b"))).distinct()
         edges = written(made, "edges")
-        state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if tuple(state) == before:
+        now = state(edges)
+        if now == before:
             return edges.select(F.col("a").alias("d"), F.col("b").alias("label")).unionByName(
                 edges.select(F.col("b").alias("d"), F.col("b").alias("label")).distinct()
             )
-        before = tuple(state)
+        before = now
     raise RuntimeError(f"components did not settle in {steps} steps")
 
 
@@ -487,7 +492,9 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     joined = components(ends.select(F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b")))
     joined = written(joined.select(F.col("d").alias("label"), F.col("label").alias("to")), "merged")
     out = labels.join(_side(joined), "label", "left").select("d", F.coalesce("to", "label").alias("label"))
-    return written(out, "labels")
+    out = written(out, "labels")
+    relieved(labels.sparkSession)  # each merge follows tens of queries
+    return out
 
 
 def _crowded(texts: DataFrame, labels: DataFrame, least: float, size: int, rare: int) -> tuple[DataFrame, DataFrame]:

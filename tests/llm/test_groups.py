@@ -436,6 +436,27 @@ def test_components(spark):
     assert all(got[i] == 100 for i in range(100, 131)) and (got[300], got[301]) == (300, 300)
 
 
+def test_stars_settle_in_one_step(spark, monkeypatch):
+    kept, written = [], neardup.written
+    monkeypatch.setattr(neardup, "written", lambda df, label: kept.append(label) or written(df, label))
+    got = {(r.d, r.label) for r in neardup.components(spark.createDataFrame([(5, 1), (7, 1), (9, 2)], "a bigint, b bigint")).collect()}
+    assert got == {(1, 1), (5, 1), (7, 1), (2, 2), (9, 2)} and len(kept) == 2
+
+
+def test_finished_queries_leave_the_driver(spark):
+    """What nothing refers to any more is collected on the driver after a merge, even if it has lived long."""
+    jvm = spark.sparkContext._jvm
+    left = jvm.java.lang.Object()
+    seen = jvm.java.lang.ref.WeakReference(left)
+    jvm.System.gc()  # from here on it is old: only a full collection finds it
+    del left
+    labels = spark.range(40).selectExpr("id AS d", "id AS label")
+    links = spark.range(39).selectExpr("id AS a", "id + 1 AS b", "true AS ok")
+    merged = neardup._merged(labels, links)
+    assert seen.get() is None
+    assert {(r.d, r.label) for r in merged.collect()} == {(i, 0) for i in range(40)}
+
+
 # ---------------------------------------------------------------- language model
 
 
